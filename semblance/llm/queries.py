@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, exact, mixing, sharding
+from . import chat, decontaminate, exact, jaccard, langid, lm, mixing, sharding, tokens, toxicity
 
 _OPERATORS = {
+    "op1_lm_scoring": lm,
     "op2_decontamination": decontaminate,
+    "op3_toxicity": toxicity,
     "op4_exact_dedup": exact,
     "op5_mixing": mixing,
+    "op6_ngram_jaccard": jaccard,
+    "op7_language_id": langid,
+    "op8_token_binary": tokens,
     "op9_chat": chat,
     "op10_sharding": sharding,
 }
