@@ -1,6 +1,567 @@
-"""The registered queries of the near-duplicate engine, with their SQL."""
+"""The registered queries of the near-duplicate engine, with their SQL.
+
+All run over whole tables. Queries that hash use the ``md5`` profile, which SQL
+knows too, and 16 permutations in 8 bands to keep the SQL short.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..config import LshConfig, PairConfig, TextConfig
+from ..functions import text as T
+from ..functions.similarity import fingerprint_hex, hamming, jaccard, signature_similarity
+from ..operators import features as X
+from ..operators import lsh, metrics, tfidf
+from ..operators.model import calibrate, fit
+from ..sources.io import parse_label
+from ..streaming.probe import probe
+from . import pipelines as PL
+from . import sql as S
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+INDEX = LshConfig(16, 8, profile="md5")
+RULE = PairConfig()
+SHORT = TextConfig(adaptive_short_text=True)
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def docs(spark: SparkSession, sf: str, config: TextConfig = TextConfig()) -> DataFrame:
+    return T.prepare(table(spark, sf, "documents").select("doc_id", "text"), config).drop("text")
+
+
+def bench(spark: SparkSession, sf: str) -> DataFrame:
+    return T.prepare(table(spark, sf, "benchmark")).drop("text")
+
+
+def turns(spark: SparkSession, sf: str) -> DataFrame:
+    """Adjacent turns of conversations as pairs."""
+    c = table(spark, sf, "conversations")
+    a = c.select("conv_id", "turn", F.col("text").alias("text_a"), (F.col("turn") + 1).alias("next"))
+    b = c.select(F.col("conv_id").alias("conv"), F.col("turn").alias("t"), F.col("text").alias("text_b"))
+    return a.join(b, (a.conv_id == b.conv) & (a.next == b.t)).select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), "text_a", "text_b")
+
+
+def labeled(spark: SparkSession, sf: str) -> DataFrame:
+    """Neighbouring labelled documents as pairs; equal labels make a positive."""
+    d, x = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels")
+    a = x.select(F.col("doc_id").alias("pair_id"), F.struct("quality", "toxic").alias("la")).join(d.select(F.col("doc_id").alias("pair_id"), F.col("text").alias("text_a")), "pair_id")
+    b = x.select((F.col("doc_id") - 1).alias("pair_id"), F.struct("quality", "toxic").alias("lb")).join(d.select((F.col("doc_id") - 1).alias("pair_id"), F.col("text").alias("text_b")), "pair_id")
+    return a.join(b, "pair_id").select("pair_id", "text_a", "text_b", (F.col("la") == F.col("lb")).cast("int").alias("label"))
+
+
+# texts
+
+_D = "WITH " + S.prepared()
+_T = "SELECT conv_id, turn, text FROM conversations"
+JOIN = "array_to_string({}, '|')"
+
+
+@query(f"SELECT doc_id, {S.norm('text')} AS norm FROM documents")
+def normalize(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.normalize(F.col("text")).alias("norm"))
+
+
+@query(f"SELECT page_id, {S.norm('html')} AS norm FROM pages")
+def normalize_pages(spark, sf):
+    return table(spark, sf, "pages").select("page_id", T.normalize(F.col("html")).alias("norm"))
+
+
+@query(f"WITH n AS ({_T}) SELECT conv_id, turn, {S.norm('text')} AS norm FROM n")
+def normalize_exact(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", T.normalize_exact(F.col("text")).alias("norm"))
+
+
+@query(f"WITH n AS (SELECT doc_id, {S.norm('text')} AS norm FROM documents) SELECT doc_id, {S.lang('norm')} AS language FROM n")
+def detect_language(spark, sf):
+    return docs(spark, sf).select("doc_id", "language")
+
+
+def _token_query(name: str, config: TextConfig, **kw):
+    def run(spark, sf):
+        return docs(spark, sf, config).select("doc_id", F.size("tokens").cast("long").alias("n"), F.array_join("tokens", "|").alias("tokens"))
+
+    run.__name__ = name
+    query(f"WITH n AS (SELECT doc_id, {S.norm('text')} AS norm FROM documents), t AS (SELECT doc_id, {S.toks('norm', **kw)} AS t FROM n) SELECT doc_id, len(t) AS n, array_to_string(t, '|') AS tokens FROM t")(run)
+
+
+_token_query("tokenize", TextConfig())
+_token_query("stopword_custom", TextConfig(custom_stopwords=("The", "la", "die!")), extra=("la", "die"))
+_token_query("keep_stopwords", TextConfig(remove_stopwords=False), keep=True)
+_token_query("tokenize_adaptive", SHORT, limit=10)
+
+
+@query(f"{_D} SELECT count(*) AS documents, sum(length(text))::BIGINT AS chars_before, sum(length(norm))::BIGINT AS chars_after, sum(len({S.split('norm')}))::BIGINT AS words_before, sum(len(tokens))::BIGINT AS words_after FROM t JOIN documents USING (doc_id)")
+def preprocess_profile(spark, sf):
+    d = T.prepare(table(spark, sf, "documents"))
+    return d.agg(F.count("*").alias("documents"), F.sum(F.length("text")).alias("chars_before"), F.sum(F.length("norm")).alias("chars_after"), F.sum(F.size(T.split_words(F.col("norm")))).alias("words_before"), F.sum(F.size("tokens")).alias("words_after"))
+
+
+_DIGEST = "len({0})::INT AS n, md5(array_to_string(list_sort({0}), '|')) AS digest"
+
+
+def _digest(c) -> list:
+    return [F.size(c).alias("n"), F.md5(F.array_join(F.array_sort(c), "|")).alias("digest")]
+
+
+def _shingle_query(k: int):
+    def run(spark, sf):
+        return docs(spark, sf, TextConfig(k)).select("doc_id", *_digest(F.col("shingles")))
+
+    run.__name__ = f"shingles_k{k}"
+    query(f"WITH {S.prepared(k=k)} SELECT doc_id, {_DIGEST.format('shingles')} FROM s")(run)
+
+
+for _k in (3, 4, 5):
+    _shingle_query(_k)
+
+
+@query(f"WITH n AS (SELECT conv_id, turn, {S.norm('text')} AS norm FROM conversations), t AS (SELECT conv_id, turn, {S.toks('norm')} AS t FROM n), s AS (SELECT conv_id, turn, CASE WHEN len(t) < 5 THEN [] ELSE {S.shingles('t', 5)} END AS s FROM t) SELECT conv_id, turn, {_DIGEST.format('s')} FROM s")
+def shingle_policy_empty(spark, sf):
+    return T.prepare(table(spark, sf, "conversations"), TextConfig(5, short_text_policy="empty")).select("conv_id", "turn", *_digest(F.col("shingles")))
+
+
+@query(f"WITH n AS (SELECT conv_id, turn, {S.norm('text')} AS norm FROM conversations), t AS (SELECT conv_id, turn, {S.toks('norm', limit=10)} AS t FROM n), s AS (SELECT conv_id, turn, {S.adaptive('t', 3)} AS s FROM t) SELECT conv_id, turn, {_DIGEST.format('s')} FROM s")
+def shingles_adaptive(spark, sf):
+    return T.prepare(table(spark, sf, "conversations"), SHORT).select("conv_id", "turn", *_digest(F.col("shingles")))
+
+
+_B = "WITH " + S.prepared("benchmark", "item_id")
+
+
+def _bench_query(name: str, sql: str, column):
+    def run(spark, sf):
+        return bench(spark, sf).select("item_id", *_digest(column()))
+
+    run.__name__ = name
+    query(f"{_B}, x AS (SELECT item_id, {sql} AS x FROM t) SELECT item_id, {_DIGEST.format('x')} FROM x")(run)
+
+
+_bench_query("word_ngrams", S.ngrams("tokens", 2), lambda: T.word_ngrams(F.col("tokens"), 2))
+_bench_query("char_ngrams", S.trigrams("tokens"), lambda: T.char_trigrams(F.col("tokens")))
+_bench_query("cosine_features", S.cosine_features("tokens", (1, 2), (3, 4, 5)), lambda: T.cosine_features(F.col("tokens")))
+
+
+@query("SELECT * FROM (VALUES ('کتاب'), ('می‌روند'), ('درخت'), ('اطلاع')) v(lemma)")
+def lemmatize_fa(spark, sf):
+    own = spark.createDataFrame([(["کتاب‌ها", "می‌روند", "می", "درختان", "اطلاعات"],)], "tokens array<string>")
+    return own.select(F.explode(T.lemmatize_fa(F.col("tokens"))).alias("lemma"))
+
+
+@query(f"SELECT x AS raw, {S.norm('x')} AS norm FROM (VALUES ('اين يك متن'), ('مؤ إأٱ ۀة'), ('كتـاب')) v(x)")
+def char_map_fa(spark, sf):
+    return spark.createDataFrame([("اين يك متن",), ("مؤ إأٱ ۀة",), ("كتـاب",)], "raw string").select("raw", T.normalize(F.col("raw")).alias("norm"))
+
+
+# sets, signatures, bands
+
+
+def _jaccard_sql(k: int, threshold: float) -> str:
+    return f"""WITH {S.prepared(k=k)}, e AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS g FROM s),
+p AS (SELECT a.doc_id AS document_a, b.doc_id AS document_b, a.n AS na, b.n AS nb, count(*) AS o FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL)
+SELECT document_a, document_b, o / (na + nb - o)::DOUBLE AS jaccard FROM p WHERE o >= {threshold} * (na + nb - o)"""
+
+
+@query(_jaccard_sql(3, 0.25))
+def jaccard_pairs(spark, sf):
+    return lsh.jaccard_join(docs(spark, sf), 0.25)
+
+
+@query(_jaccard_sql(4, 0.2))
+def shingle_size_sweep(spark, sf):
+    return lsh.jaccard_join(docs(spark, sf, TextConfig(4)), 0.2)
+
+
+@query(f"""WITH d AS (WITH {S.prepared()} SELECT doc_id, len(shingles) AS na, unnest(shingles) AS g FROM s), i AS (WITH {S.prepared('benchmark', 'item_id')} SELECT item_id, len(shingles) AS nb, unnest(shingles) AS g FROM s)
+SELECT doc_id, item_id, count(*) AS shared, count(*) / (na + nb - count(*))::DOUBLE AS jaccard FROM d JOIN i USING (g) GROUP BY doc_id, item_id, na, nb""")
+def benchmark_contamination_jaccard(spark, sf):
+    return lsh.jaccard_between(docs(spark, sf), bench(spark, sf), "doc_id", "item_id")
+
+
+_G = f"{_D}, {S.signatures('doc_id', 16)}"
+_BANDS = S.bands("sig", 8, 2)
+_INDEX = f"{_G}, b AS MATERIALIZED (SELECT doc_id, unnest(range(0, 8))::INT AS band, unnest({_BANDS}) AS key FROM g JOIN s USING (doc_id) WHERE len(shingles) > 0)"
+_CAND = f"{_INDEX}, c AS MATERIALIZED (SELECT DISTINCT a.doc_id AS document_a, b.doc_id AS document_b FROM b a JOIN b ON a.band = b.band AND a.key = b.key AND a.doc_id < b.doc_id)"
+
+
+def _signed(spark, sf):
+    return lsh.signed(docs(spark, sf), INDEX)
+
+
+@query(f"{_G} SELECT doc_id, array_to_string(sig, ',') AS signature FROM g")
+def minhash_signature(spark, sf):
+    return _signed(spark, sf).select("doc_id", F.array_join(F.col("signature").cast("array<string>"), ",").alias("signature"))
+
+
+@query(f"{_INDEX} SELECT * FROM b")
+def lsh_bands(spark, sf):
+    return lsh.banded(_signed(spark, sf), INDEX).select("doc_id", "band", F.array_join(F.col("key").cast("array<string>"), ",").alias("key"))
+
+
+@query(f"{_CAND} SELECT * FROM c")
+def lsh_candidates(spark, sf):
+    return lsh.candidates(lsh.banded(_signed(spark, sf), INDEX))
+
+
+@query(f"{_CAND} SELECT document_a, document_b, {S.jaccard('x.shingles', 'y.shingles')} AS jaccard FROM c JOIN s x ON x.doc_id = document_a JOIN s y ON y.doc_id = document_b WHERE {S.jaccard('x.shingles', 'y.shingles')} >= 0.25")
+def lsh_verified(spark, sf):
+    own = _signed(spark, sf)
+    return lsh.verified(lsh.candidates(lsh.banded(own, INDEX)), own, 0.25)
+
+
+@query(f"{_CAND} SELECT document_a, document_b, len(list_filter(range(1, 17), lambda i: x.sig[i] = y.sig[i])) / 16.0::DOUBLE AS similarity FROM c JOIN g x ON x.doc_id = document_a JOIN g y ON y.doc_id = document_b")
+def minhash_similarity(spark, sf):
+    own = _signed(spark, sf)
+    both = lsh.with_sides(lsh.candidates(lsh.banded(own, INDEX)), own, ["signature"])
+    return both.select("document_a", "document_b", signature_similarity(F.col("signature_a"), F.col("signature_b")).alias("similarity"))
+
+
+@query(f"""WITH d AS ({_INDEX} SELECT * FROM b), q AS ({_B}, {S.signatures('item_id', 16)} SELECT item_id, unnest(range(0, 8))::INT AS band, unnest({_BANDS}) AS key FROM g JOIN s USING (item_id) WHERE len(shingles) > 0)
+SELECT DISTINCT item_id, doc_id FROM q JOIN d USING (band, key)""")
+def lsh_query(spark, sf):
+    return lsh.query_index(lsh.banded(lsh.signed(bench(spark, sf), INDEX), INDEX, "item_id"), lsh.banded(_signed(spark, sf), INDEX), "item_id")
+
+
+_TURNS = f"WITH {S.pairs(S.TURNS)}"
+_BOTH = "g x ON x.at = pair_id || ':a' JOIN g y ON y.at = pair_id || ':b'"
+_IS = f"len(list_filter(range(1, 9), lambda i: {S.bands('x.sig', 8, 2)}[i] = {S.bands('y.sig', 8, 2)}[i])) > 0"
+
+
+@query(f"{_TURNS}, {S.signatures('at', 16)} SELECT pair_id, ({_IS})::INT AS candidate FROM sides JOIN {_BOTH}")
+def lsh_is_candidate(spark, sf):
+    own = PL.pair_frame(turns(spark, sf))
+    for s in "ab":
+        own = lsh.signed(own, INDEX, f"shingles_{s}", f"signature_{s}")
+    return own.select("pair_id", lsh.is_candidate(F.col("signature_a"), F.col("signature_b"), INDEX).cast("int").alias("candidate"))
+
+
+@query("SELECT k::INT AS step, round(1 - (1 - (k / 20.0) ** 2) ** 64, 6) AS probability FROM range(0, 21) r(k)")
+def lsh_s_curve(spark, sf):
+    p = F.col("id") / 20
+    return spark.range(21).select(F.col("id").cast("int").alias("step"), F.round(1 - F.pow(1 - F.pow(p, F.lit(2)), F.lit(64)), 6).alias("probability"))
+
+
+@query("""SELECT t / 20.0 AS threshold, b AS bands, 128 // b AS rows FROM range(1, 20) x(t), range(1, 129) y(b) WHERE 128 % b = 0
+QUALIFY row_number() OVER (PARTITION BY t ORDER BY abs(pow(1.0 / b, b / 128.0) - t / 20.0), b) = 1""")
+def adaptive_lsh_params(spark, sf):
+    return spark.createDataFrame([(t / 20, *lsh.adaptive_params(128, t / 20)) for t in range(1, 20)], "threshold double, bands long, rows long")
+
+
+@query(f"""{_CAND}, j AS (SELECT {S.jaccard('x.shingles', 'y.shingles')} AS j FROM c JOIN s x ON x.doc_id = document_a JOIN s y ON y.doc_id = document_b)
+SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) * (count(*) - 1) // 2 FROM documents) AS all_possible_pairs, count(*) AS lsh_candidate_pairs,
+round(1 - count(*) / (SELECT count(*) * (count(*) - 1) // 2 FROM documents)::DOUBLE, 6) AS reduction_ratio, count(*) FILTER (j >= 0.25) AS accepted_by_jaccard, {round(INDEX.approximate_threshold, 6)}::DOUBLE AS lsh_approximate_threshold FROM j""")
+def corpus_summary(spark, sf):
+    own = _signed(spark, sf)
+    found = lsh.with_sides(lsh.candidates(lsh.banded(own, INDEX)), own, ["shingles"]).select((jaccard(F.col("shingles_a"), F.col("shingles_b")) >= 0.25).cast("long").alias("ok"))
+    total = table(spark, sf, "documents").agg(F.count("*").alias("documents"))
+    both = total.crossJoin(found.agg(F.count("*").alias("lsh_candidate_pairs"), F.coalesce(F.sum("ok"), F.lit(0)).alias("accepted_by_jaccard")))
+    pairs = F.expr("documents * (documents - 1) div 2")
+    return both.select("documents", pairs.alias("all_possible_pairs"), "lsh_candidate_pairs", F.round(F.coalesce(1 - F.try_divide("lsh_candidate_pairs", pairs), F.lit(0.0)), 6).alias("reduction_ratio"), "accepted_by_jaccard", F.lit(round(INDEX.approximate_threshold, 6)).alias("lsh_approximate_threshold"))
+
+
+@query(f"{_D} SELECT md5(norm) AS digest, count(*) AS copies, min(doc_id) AS first_id FROM n GROUP BY 1 HAVING count(*) > 1")
+def exact_duplicates(spark, sf):
+    return docs(spark, sf).groupBy(F.md5("norm").alias("digest")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1")
+
+
+def _strings(df: DataFrame) -> DataFrame:
+    return df.select(F.col("doc_id").cast("string").alias("document_id"), "text")
+
+
+@query()
+def corpus_report(spark, sf):
+    """The corpus command in the blake2b profile."""
+    return PL.corpus(_strings(table(spark, sf, "documents")))[0]
+
+
+# weights, fingerprints, cosine
+
+_TF = f"{_D}, x AS (SELECT doc_id, unnest({S.ngrams('tokens', 1)}) AS feature FROM t), tf AS (SELECT doc_id, feature, count(*) AS tf FROM x GROUP BY ALL), i AS (SELECT feature, count(*) AS df, ln(((SELECT count(*) FROM t) + 1) / (count(*) + 1)::DOUBLE) + 1 AS idf FROM tf GROUP BY feature)"
+
+
+def _tf(spark, sf):
+    return tfidf.term_frequency(docs(spark, sf), T.word_ngrams(F.col("tokens"), 1), ["doc_id"])
+
+
+@query(f"{_TF} SELECT feature, df, round(idf, 6) AS idf FROM i")
+def idf(spark, sf):
+    return tfidf.idf(_tf(spark, sf), table(spark, sf, "documents").count()).withColumn("idf", F.round("idf", 6))
+
+
+@query(f"{_TF} SELECT doc_id, feature, tf, round((1 + ln(tf)) * idf, 6) AS weight FROM tf JOIN i USING (feature)")
+def tf_weights(spark, sf):
+    n, tf = table(spark, sf, "documents").count(), _tf(spark, sf)
+    return tfidf.weights(tf, tfidf.idf(tf, n), n).select("doc_id", "feature", "tf", F.round("weight", 6).alias("weight"))
+
+
+_FP = f"{_D}, {S.fingerprints('doc_id', S.ngrams('tokens', 1))}"
+
+
+def _prints(spark, sf):
+    return tfidf.fingerprints(docs(spark, sf), T.word_ngrams(F.col("tokens"), 1), "doc_id", profile="md5")
+
+
+@query(f"{_FP} SELECT doc_id, format('{{:08x}}{{:08x}}', hi, lo) AS fingerprint FROM f")
+def simhash_fingerprint(spark, sf):
+    return _prints(spark, sf).select("doc_id", fingerprint_hex(F.col("fingerprint")).alias("fingerprint"))
+
+
+@query(f"WITH {S.prepared('benchmark', 'item_id')}, {S.fingerprints('item_id', f'''list_concat({S.ngrams('tokens', 1)}, {S.trigrams('tokens')})''')} SELECT item_id, format('{{:08x}}{{:08x}}', hi, lo) AS fingerprint FROM f")
+def hybrid_simhash(spark, sf):
+    return tfidf.fingerprints(bench(spark, sf), T.hybrid_features(F.col("tokens")), "item_id", profile="md5").select("item_id", fingerprint_hex(F.col("fingerprint")).alias("fingerprint"))
+
+
+@query(f"{_FP} SELECT a.doc_id AS document_a, b.doc_id AS document_b, {S.hamming('a', 'b')} AS distance, 1 - {S.hamming('a', 'b')} / 64.0::DOUBLE AS similarity FROM f a JOIN f b ON b.doc_id = a.doc_id + 1")
+def simhash_hamming(spark, sf):
+    f = _prints(spark, sf)
+    a, b = f.toDF("document_a", "x"), f.toDF("document_b", "y")
+    d = hamming(F.col("x"), F.col("y"))
+    return a.join(b, F.col("document_b") == F.col("document_a") + 1).select("document_a", "document_b", d.alias("distance"), (1 - d / 64).alias("similarity"))
+
+
+def _cosine_query(name: str, words: tuple[int, ...], chars: tuple[int, ...]):
+    def run(spark, sf):
+        own = tfidf.pair_cosine(PL.pair_frame(turns(spark, sf)), "pair_id", T.cosine_features(F.col("tokens"), words, chars))
+        return own.withColumn("cosine", F.round("cosine", 6))
+
+    run.__name__ = name
+    query(f"{_TURNS}, {S.cosine(S.cosine_features('tokens', words, chars))} SELECT pair_id, round(value, 6) AS cosine FROM c")(run)
+
+
+_cosine_query("tfidf_cosine_word", (1,), ())
+_cosine_query("tfidf_cosine_bigram", (1, 2), ())
+_cosine_query("tfidf_cosine_char", (), (3, 4, 5))
+
+# pair features
+
+
+def _features_sql() -> str:
+    d = lambda c: f"list_distinct({c})"
+    both = f"len(list_intersect({d('tokens_a')}, {d('tokens_b')}))"
+    q = lambda c: f"list_filter({c}, lambda w: list_contains({S.words(X.QUESTIONS)}, w))[1]"
+    neg = lambda c: f"list_has_any({c}, {S.words(X.NEGATIONS)})"
+    bi = lambda c: f"list_distinct({S.runs(c, 2)})"
+    least = "least(len(tokens_a), len(tokens_b))"
+    div = lambda a, b: f"coalesce({a} / nullif({b}, 0)::DOUBLE, 0.0)"
+    prefix = f"len(list_filter(range(1, {least} + 1), lambda i: tokens_a[1 : i] = tokens_b[1 : i]))"
+    flag = lambda c: f"coalesce({c}, false)::INT::DOUBLE"
+    return f"""SELECT pair_id, {S.jaccard(d('tokens_a'), d('tokens_b'))} AS token_jaccard, {div(both, f"least(len({d('tokens_a')}), len({d('tokens_b')}))")} AS overlap_coefficient,
+{div(least, 'greatest(len(tokens_a), len(tokens_b))')} AS length_ratio, {flag(f"{q('tokens_a')} = {q('tokens_b')}")} AS question_word_same, {flag(f"{q('tokens_a')} <> {q('tokens_b')}")} AS question_word_mismatch,
+{flag(f"{neg('tokens_a')} <> {neg('tokens_b')}")} AS negation_mismatch, {S.jaccard(bi('tokens_a'), bi('tokens_b'))} AS bigram_jaccard, {flag('tokens_a[1] = tokens_b[1]')} AS first_token_same,
+{div(prefix, least)} AS common_prefix_ratio, {flag("norm_a = norm_b AND norm_a <> ''")} AS exact_match FROM sides"""
+
+
+_SET = [x for x in X.BASE if x not in (*X.BASE[:3], X.BASE[9], X.BASE[10])]
+
+
+@query(f"{_TURNS} {_features_sql()}")
+def pair_features_set(spark, sf):
+    own = PL.pair_frame(turns(spark, sf))
+    return own.select("pair_id", *(c.alias(n) for n, c in X.set_features(F.col("tokens_a"), F.col("tokens_b"), F.col("norm_a"), F.col("norm_b")).items()))
+
+
+def _expand_sql() -> str:
+    zero = [x if x in _SET else "0.0::DOUBLE" for x in X.BASE]
+    terms = [*zero, *(f"{zero[i]} * {zero[i]}" for i in X.SQUARED), *(f"{zero[i]} * {zero[j]}" for i, j in X.PRODUCTS)]
+    return f"{_TURNS}, f AS ({_features_sql()}) SELECT pair_id, " + ", ".join(f"({t})::DOUBLE AS x{i}" for i, t in enumerate(terms)) + " FROM f"
+
+
+@query(_expand_sql())
+def feature_expand(spark, sf):
+    own = pair_features_set(spark, sf)
+    x = own.select("pair_id", X.expand([F.col(c) if c in _SET else F.lit(0.0) for c in X.BASE]).alias("x"))
+    return x.select("pair_id", *(F.col("x")[i].alias(f"x{i}") for i in range(len(X.EXPANDED))))
+
+
+def _ratios(spark, sf):
+    return PL.pair_frame(turns(spark, sf))
+
+
+@query()
+def sequence_ratio(spark, sf):
+    return _ratios(spark, sf).select("pair_id", X.matcher_ratio(F.col("norm_a"), F.col("norm_b")).alias("ratio"))
+
+
+@query()
+def sorted_token_ratio(spark, sf):
+    a, b = (F.array_join(F.array_sort(f"tokens_{s}"), " ") for s in "ab")
+    return _ratios(spark, sf).select("pair_id", X.matcher_ratio(a, b).alias("ratio"))
+
+
+# evaluation
+
+_LABELED = f"WITH {S.pairs(S.LABELED)}"
+_LSH = f"{_LABELED}, {S.signatures('at', 16)} SELECT pair_id, label, (len(shingles_a) > 0 AND len(shingles_b) > 0 AND {_IS})::INT AS candidate, {S.jaccard('shingles_a', 'shingles_b')} AS j FROM sides JOIN {_BOTH}"
+
+
+def _scored(spark, sf, rule: PairConfig = RULE):
+    return PL.score_pairs(labeled(spark, sf), index=INDEX, rule=rule)
+
+
+@query(S.metrics("SELECT quality AS label, toxic AS prediction FROM labels"))
+def classification_metrics(spark, sf):
+    return metrics.classification_metrics(table(spark, sf, "labels"), "quality", "toxic")
+
+
+@query(f"SELECT count(*) AS pairs_evaluated, count(*) FILTER (candidate = 1) AS candidate_pairs, coalesce(count(*) FILTER (candidate = 1 AND label = 1) / nullif(count(*) FILTER (label = 1), 0)::DOUBLE, 0.0) AS candidate_recall, 1 - count(*) FILTER (candidate = 1) / count(*)::DOUBLE AS comparison_reduction FROM ({_LSH})")
+def candidate_recall(spark, sf):
+    own = PL.pair_frame(labeled(spark, sf))
+    for s in "ab":
+        own = lsh.signed(own, INDEX, f"shingles_{s}", f"signature_{s}")
+    some = (F.size("shingles_a") > 0) & (F.size("shingles_b") > 0)
+    return metrics.candidate_metrics(own.withColumn("candidate", (some & lsh.is_candidate(F.col("signature_a"), F.col("signature_b"), INDEX)).cast("int")))
+
+
+@query(S.metrics(f"SELECT label, (candidate = 1 AND j >= 0.25)::INT AS prediction FROM ({_LSH})"))
+def lsh_evaluation(spark, sf):
+    return metrics.classification_metrics(_scored(spark, sf), "label", "lsh_prediction")
+
+
+_SIM = f"{_LABELED}, {S.fingerprints('at', S.ngrams('tokens', 1))} SELECT label, (len(tokens_a) > 0 AND len(tokens_b) > 0 AND {S.hamming('x', 'y')} <= 25)::INT AS prediction FROM sides JOIN f x ON x.at = pair_id || ':a' JOIN f y ON y.at = pair_id || ':b'"
+
+
+@query(S.metrics(_SIM))
+def simhash_evaluation(spark, sf):
+    return metrics.classification_metrics(_scored(spark, sf), "label", "simhash_prediction")
+
+
+_COS = f"{_LABELED}, {S.cosine(S.cosine_features('tokens', (1, 2), (3, 4, 5)))} SELECT label, (len(tokens_a) > 0 AND len(tokens_b) > 0 AND value >= 0.32)::INT AS prediction FROM sides JOIN c USING (pair_id)"
+
+
+@query(S.metrics(_COS))
+def cosine_evaluation(spark, sf):
+    return metrics.classification_metrics(_scored(spark, sf, PairConfig(cosine_threshold=0.32)), "label", "cosine_prediction")
+
+
+@query(f"SELECT pair_id, label, (label <> (candidate = 1 AND j >= 0.25)::INT)::INT AS error_lsh FROM ({_LSH})")
+def error_flags(spark, sf):
+    return _scored(spark, sf).select("pair_id", "label", "error_lsh")
+
+
+@query(f"SELECT kind, pair_id FROM (SELECT CASE WHEN label = 1 THEN 'FN' ELSE 'FP' END AS kind, pair_id, row_number() OVER (PARTITION BY label ORDER BY pair_id) AS k FROM ({_LSH}) WHERE label <> (candidate = 1 AND j >= 0.25)::INT) WHERE k <= 2")
+def error_samples(spark, sf):
+    """The first two errors of each kind (the limit is the feature)."""
+    from pyspark.sql import Window
+
+    kind = F.when(F.col("label") == 1, "FN").otherwise("FP").alias("kind")
+    wrong = _scored(spark, sf).where("error_lsh = 1").select(kind, "pair_id")
+    return wrong.withColumn("k", F.row_number().over(Window.partitionBy("kind").orderBy("pair_id"))).where("k <= 2").drop("k")
+
+
+@query()
+def pair_metrics(spark, sf):
+    """The pairs command in the blake2b profile, all three methods."""
+    rule = PairConfig(cosine_threshold=0.32)
+    return PL.evaluate_pairs(PL.score_pairs(labeled(spark, sf), rule=rule), rule=rule)
+
+
+@query()
+def variant_comparison(spark, sf):
+    return PL.variants(labeled(spark, sf))
+
+
+@query("""WITH h AS (SELECT doc_id, toxic AS label, md5(concat_ws(':', 42, toxic, doc_id, doc_id)) AS h FROM labels), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY h, doc_id) AS k, count(*) OVER (PARTITION BY label) AS n FROM h)
+SELECT doc_id, label, CASE WHEN k <= floor(n * 0.6::DOUBLE) THEN 'train' WHEN k <= floor(n * 0.6::DOUBLE) + floor(n * 0.2::DOUBLE) THEN 'validation' ELSE 'test' END AS split FROM r""")
+def stratified_split(spark, sf):
+    own = table(spark, sf, "labels").select("doc_id", F.col("toxic").alias("label"))
+    return metrics.stratified_split(own, profile="md5", key="doc_id", index="doc_id").select("doc_id", "label", "split")
+
+
+_SCORE = "SELECT (doc_id * 37 % 101 + 60 * toxic) / 161.0::DOUBLE AS score, toxic AS label FROM labels"
+
+
+@query(f"""WITH s AS ({_SCORE}), e AS (SELECT score AS threshold, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n FROM s GROUP BY 1),
+c AS (SELECT threshold, sum(p) OVER w AS tp, sum(n) OVER w AS fp FROM e WINDOW w AS (ORDER BY threshold DESC) UNION ALL SELECT 1.0, 0, 0),
+m AS (SELECT threshold, tp, fp, (SELECT count(*) FROM s WHERE label = 1) AS pos, (SELECT count(*) FROM s) AS total FROM c)
+SELECT threshold, coalesce(2 * tp / nullif(tp + fp + pos, 0)::DOUBLE, 0.0)::DOUBLE AS f1, ((tp + total - pos - fp) / total::DOUBLE)::DOUBLE AS accuracy FROM m ORDER BY f1 DESC, accuracy DESC, threshold DESC LIMIT 1""")
+def tune_f1_threshold(spark, sf):
+    own = table(spark, sf, "labels").select(((F.col("doc_id") * 37 % 101 + 60 * F.col("toxic")) / 161).alias("score"), F.col("toxic").alias("label"))
+    return metrics.tune_f1_threshold(own)
+
+
+def _numbers(spark, sf):
+    d, x = table(spark, sf, "documents"), table(spark, sf, "labels")
+    marks = F.regexp_count("text", F.lit("[!*#$%&]")) / (F.length("text") + 1)
+    return d.join(x, "doc_id").select("doc_id", F.array(F.log1p(F.length("text")), marks, F.regexp_count("text", F.lit("[A-Z]")) / (F.length("text") + 1)).alias("x"), F.col("quality").alias("label"))
+
+
+@query()
+def irls_fit(spark, sf):
+    m = fit(_numbers(spark, sf))
+    return spark.createDataFrame([(i, w) for i, w in enumerate(m.weights)], "position int, weight double")
+
+
+@query()
+def ensemble_score(spark, sf):
+    own = _numbers(spark, sf)
+    return own.select("doc_id", fit(own).probability(F.col("x")).alias("score"))
+
+
+def _calibration_pairs(spark, sf):
+    """Turns of conversations; positive where the second turn repeats a word of three letters or more of the first."""
+    own = PL.pair_frame(turns(spark, sf))
+    long = lambda c: F.filter(c, lambda t: F.length(t) > 8)
+    return own.withColumn("label", F.arrays_overlap(long(F.col("tokens_a")), long(F.col("tokens_b"))).cast("int")).withColumn("label", F.coalesce("label", F.lit(0))).withColumn("index", F.col("pair_id"))
+
+
+@query()
+def calibrate_metrics(spark, sf):
+    return calibrate(_calibration_pairs(spark, sf))[1]
+
+
+@query("SELECT * FROM (VALUES ('1', 1), (' Yes ', 1), ('DUPLICATE', 1), ('original', 0), ('non-duplicate', 0), ('0.9', 0), ('1.7', 1), ('-0.3', 0)) v(raw, label)")
+def parse_labels(spark, sf):
+    own = spark.createDataFrame([("1",), (" Yes ",), ("DUPLICATE",), ("original",), ("non-duplicate",), ("0.9",), ("1.7",), ("-0.3",)], "raw string")
+    return own.select("raw", parse_label(F.col("raw")).alias("label"))
+
+
+@query("SELECT toxic AS label, count(*) AS n FROM labels GROUP BY 1")
+def label_distribution(spark, sf):
+    return table(spark, sf, "labels").groupBy(F.col("toxic").alias("label")).agg(F.count("*").alias("n"))
+
+
+_TOP = "SELECT term, count(*) AS n FROM w GROUP BY term ORDER BY n DESC, term LIMIT 15"
+
+
+@query(rf"WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS term FROM documents) {_TOP}")
+def top_terms_before(spark, sf):
+    """A report of the 15 most frequent words (the limit is the feature)."""
+    w = table(spark, sf, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("term"))
+    return w.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(15)
+
+
+@query(f"{_D}, w AS (SELECT unnest(tokens) AS term FROM t) {_TOP}")
+def top_terms_after(spark, sf):
+    w = docs(spark, sf).select(F.explode("tokens").alias("term"))
+    return w.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(15)
+
+
+@query(f"{_LABELED} SELECT label, floor({S.jaccard('shingles_a', 'shingles_b')} * 20)::BIGINT AS bucket, count(*) AS n FROM sides GROUP BY ALL")
+def similarity_histogram(spark, sf):
+    own = PL.pair_frame(labeled(spark, sf))
+    return own.groupBy("label", F.floor(jaccard(F.col("shingles_a"), F.col("shingles_b")) * 20).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH d AS ({_INDEX} SELECT * FROM b), q AS ({_B}, {S.signatures('item_id', 16)} SELECT item_id, unnest(range(0, 8))::INT AS band, unnest({_BANDS}) AS key FROM g JOIN s USING (item_id) WHERE len(shingles) > 0)
+SELECT DISTINCT item_id, doc_id FROM q JOIN d USING (band, key)""")
+def stream_probe(spark, sf):
+    """Benchmark items as the static index, documents as they would arrive."""
+    return probe(lsh.banded(lsh.signed(bench(spark, sf), INDEX), INDEX, "item_id"), _signed(spark, sf), INDEX, "item_id", "doc_id").distinct()
+
