@@ -68,6 +68,7 @@ def signature_of(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def signature(shingles: Column, num_perm: int = 128, seed: int = 42, profile: str = "blake2b") -> Column:
+    """Of shingles, or of their hashes in the ``md5`` profile."""
     a, b = (np.array(x, np.uint64) for x in zip(*coefficients(num_perm, seed), strict=True))
 
     @F.pandas_udf("array<long>")
@@ -78,7 +79,7 @@ def signature(shingles: Column, num_perm: int = 128, seed: int = 42, profile: st
             rows = (np.array([blake64(s, b"plag-min") for s in v], np.uint64) % _P for v in x)
         return pd.Series([signature_of(np.unique(h), a, b).astype(np.int64) for h in rows])
 
-    return of(F.transform(shingles, minhash_md5) if profile == "md5" else shingles)
+    return of(shingles)
 
 
 def fingerprint(weighted: Column) -> Column:

@@ -62,43 +62,56 @@ def _strings(words) -> Column:
     return F.array(*(F.lit(w) for w in words)).cast("array<string>")
 
 
+def _let(c: Column, of) -> Column:
+    """``of(c)`` with c evaluated once, however often ``of`` and its lambdas
+    use it: the optimizer would put c's expression in every place instead."""
+    return F.get(F.transform(F.array(c), of), F.lit(0))
+
+
 def tokens(norm: Column, lang: Column, config: TextConfig = TextConfig()) -> Column:
-    words = split_words(norm)
-    if not config.remove_stopwords:
-        return words
     own = [normalize_text(w) for w in config.custom_stopwords]
 
-    def without(stop: list[str]) -> Column:
+    def without(words: Column, stop: list[str]) -> Column:
         listed = _strings(sorted({*stop, *own} - {""}))
         return F.filter(words, lambda t: ~F.array_contains(listed, t))
 
-    kept = F.when(lang == "fa", without(STOP_FA)).otherwise(without(STOP_EN))
-    return F.when(F.size(words) <= config.short_text_token_limit, words).otherwise(kept) if config.adaptive_short_text else kept
+    def of(words: Column) -> Column:
+        kept = F.when(lang == "fa", without(words, STOP_FA)).otherwise(without(words, STOP_EN))
+        return F.when(F.size(words) <= config.short_text_token_limit, words).otherwise(kept) if config.adaptive_short_text else kept
+
+    return _let(split_words(norm), of) if config.remove_stopwords else split_words(norm)
 
 
 def _runs(toks: Column, n: int, sep: str = SEP) -> Column:
-    """Runs of n tokens, with repeats; none where there are fewer."""
+    """Runs of n tokens, with repeats; none where there are fewer. ``toks`` is a bound variable."""
     runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(toks) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(toks, i, n), sep))
     return F.when(F.size(toks) >= n, runs).otherwise(_strings([]))
 
 
+def _ngrams(toks: Column, n: int) -> Column:
+    whole = F.array(F.array_join(toks, SEP))
+    return F.when(F.size(toks) == 0, _strings([])).when(F.size(toks) < n, whole).otherwise(_runs(toks, n))
+
+
 def word_ngrams(toks: Column, n: int = 1) -> Column:
     """With repeats; fewer than n tokens make one gram of them all."""
     if n < 1:
         raise ValueError("n-grams have at least one word")
-    whole = F.array(F.array_join(toks, SEP))
-    return F.when(F.size(toks) == 0, _strings([])).when(F.size(toks) < n, whole).otherwise(_runs(toks, n))
+    return _let(toks, lambda t: _ngrams(t, n))
 
 
 def shingles(toks: Column, k: int = 3, policy: str = "single") -> Column:
-    out = F.array_distinct(word_ngrams(toks, k))
-    return out if policy == "single" else F.when(F.size(toks) < k, _strings([])).otherwise(out)
+    whole = policy == "single"
+    return _let(toks, lambda t: F.array_distinct(_ngrams(t, k) if whole else _runs(t, k)))
 
 
 def shingles_adaptive(toks: Column, k: int = 3) -> Column:
-    n = F.size(toks)
-    few, some = F.array_union(shingles(toks, 1), shingles(toks, 2)), F.array_union(shingles(toks, 2), shingles(toks, 3))
-    return F.when(n == 0, _strings([])).when(n <= 6, few).when(n <= 12, some).otherwise(shingles(toks, k))
+    def of(t: Column) -> Column:
+        n = F.size(t)
+        few, some = F.array_union(_ngrams(t, 1), _ngrams(t, 2)), F.array_union(_ngrams(t, 2), _ngrams(t, 3))
+        return F.when(n == 0, _strings([])).when(n <= 6, few).when(n <= 12, some).otherwise(F.array_distinct(_ngrams(t, k)))
+
+    return _let(toks, of)
 
 
 def char_trigrams(toks: Column) -> Column:
@@ -115,17 +128,28 @@ def hybrid_features(toks: Column, n: int = 1, chars: bool = True) -> Column:
     return F.concat(word_ngrams(toks, n), char_trigrams(toks)) if chars else word_ngrams(toks, n)
 
 
+def _prefixed(grams: Column, prefix: str) -> Column:
+    return F.transform(grams, lambda g: F.concat(F.lit(prefix), g))
+
+
+def _chars(joined: Column, n: int) -> Column:
+    at = F.sequence(F.lit(1), F.greatest(F.length(joined) - n + 1, F.lit(1)))
+    return F.when(F.length(joined) >= n, F.transform(at, lambda i: F.substring(joined, i, F.lit(n)))).otherwise(_strings([]))
+
+
 def cosine_features(toks: Column, words: tuple[int, ...] = (1, 2), chars: tuple[int, ...] = (3, 4, 5)) -> Column:
     """``word-n:`` and ``char-n:`` grams, the latter across words."""
     if not words and not chars or any(n < 1 for n in (*words, *chars)):
         raise ValueError("at least one kind of feature, of sizes above 0")
-    parts = [F.transform(_runs(toks, n), lambda g, n=n: F.concat(F.lit(f"word-{n}:"), g)) for n in words]
-    joined = F.array_join(toks, " ")
-    for n in chars:
-        at = F.sequence(F.lit(1), F.greatest(F.length(joined) - n + 1, F.lit(1)))
-        grams = F.transform(at, lambda i, n=n: F.concat(F.lit(f"char-{n}:"), F.substring(joined, i, F.lit(n))))
-        parts.append(F.when(F.length(joined) >= n, grams).otherwise(_strings([])))
-    return F.concat(*parts)
+
+    # the functions of transform may take one argument only: a second would be the index
+    def of_words(n: int) -> Column:
+        return _let(toks, lambda t: _prefixed(_runs(t, n), f"word-{n}:"))
+
+    def of_chars(n: int) -> Column:
+        return _let(F.array_join(toks, " "), lambda j: _prefixed(_chars(j, n), f"char-{n}:"))
+
+    return F.concat(*map(of_words, words), *map(of_chars, chars))
 
 
 def lemmatize_fa(toks: Column) -> Column:
@@ -138,8 +162,16 @@ def lemmatize_fa(toks: Column) -> Column:
 def prepare(df: DataFrame, config: TextConfig = TextConfig(), text: str = "text", suffix: str = "") -> DataFrame:
     """``df`` with ``norm``, ``language``, ``tokens`` and ``shingles`` (each with the suffix)."""
     norm, lang, toks, sh = (f"{c}{suffix}" for c in ("norm", "language", "tokens", "shingles"))
-    df = df.withColumn(norm, normalize_exact(F.col(text)) if config.exact_unicode else normalize(F.col(text)))
+    df = once(df, {norm: normalize_exact(F.col(text)) if config.exact_unicode else normalize(F.col(text))})
     df = df.withColumn(lang, detect_language(F.col(norm)) if config.language == "auto" else F.lit(config.language))
-    df = df.withColumn(toks, tokens(F.col(norm), F.col(lang), config))
+    df = once(df, {toks: tokens(F.col(norm), F.col(lang), config)})
     made = shingles_adaptive(F.col(toks), config.shingle_size) if config.adaptive_short_text else shingles(F.col(toks), config.shingle_size, config.short_text_policy)
     return df.withColumn(sh, made)
+
+
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Columns that later stages read instead of evaluating them anew: the
+    optimizer doesn't merge projections across a generator."""
+    one = F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))).alias("_once")
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in columns]
+    return df.select(*rest, one).select(*rest, *(F.col("_once")[n].alias(n) for n in columns))

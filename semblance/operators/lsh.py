@@ -7,12 +7,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import LshConfig
-from ..functions.hashing import signature
+from ..functions.hashing import minhash_md5, signature
 from ..functions.similarity import jaccard
+from ..functions.text import once
 
 
 def signed(df: DataFrame, config: LshConfig = LshConfig(), shingles: str = "shingles", name: str = "signature") -> DataFrame:
-    return df.withColumn(name, signature(F.col(shingles), config.num_perm, config.seed, config.profile))
+    df = once(df, {"_hashes": F.transform(shingles, minhash_md5) if config.profile == "md5" else F.col(shingles)})
+    return once(df, {name: signature(F.col("_hashes"), config.num_perm, config.seed, config.profile)}).drop("_hashes")
 
 
 def slices(sig: Column, config: LshConfig) -> Column:

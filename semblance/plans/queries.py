@@ -240,11 +240,11 @@ def lsh_query(spark, sf):
 
 
 _TURNS = f"WITH {S.pairs(S.TURNS)}"
-_BOTH = "g x ON x.at = pair_id || ':a' JOIN g y ON y.at = pair_id || ':b'"
+_BOTH = "g x ON x.side_id = pair_id || ':a' JOIN g y ON y.side_id = pair_id || ':b'"
 _IS = f"len(list_filter(range(1, 9), lambda i: {S.bands('x.sig', 8, 2)}[i] = {S.bands('y.sig', 8, 2)}[i])) > 0"
 
 
-@query(f"{_TURNS}, {S.signatures('at', 16)} SELECT pair_id, ({_IS})::INT AS candidate FROM sides JOIN {_BOTH}")
+@query(f"{_TURNS}, {S.signatures('side_id', 16)} SELECT pair_id, ({_IS})::INT AS candidate FROM sides JOIN {_BOTH}")
 def lsh_is_candidate(spark, sf):
     own = PL.pair_frame(turns(spark, sf))
     for s in "ab":
@@ -408,7 +408,7 @@ def sorted_token_ratio(spark, sf):
 # evaluation
 
 _LABELED = f"WITH {S.pairs(S.LABELED)}"
-_LSH = f"{_LABELED}, {S.signatures('at', 16)} SELECT pair_id, label, (len(shingles_a) > 0 AND len(shingles_b) > 0 AND {_IS})::INT AS candidate, {S.jaccard('shingles_a', 'shingles_b')} AS j FROM sides JOIN {_BOTH}"
+_LSH = f"{_LABELED}, {S.signatures('side_id', 16)} SELECT pair_id, label, (len(shingles_a) > 0 AND len(shingles_b) > 0 AND {_IS})::INT AS candidate, {S.jaccard('shingles_a', 'shingles_b')} AS j FROM sides JOIN {_BOTH}"
 
 
 def _scored(spark, sf, rule: PairConfig = RULE):
@@ -434,7 +434,7 @@ def lsh_evaluation(spark, sf):
     return metrics.classification_metrics(_scored(spark, sf), "label", "lsh_prediction")
 
 
-_SIM = f"{_LABELED}, {S.fingerprints('at', S.ngrams('tokens', 1))} SELECT label, (len(tokens_a) > 0 AND len(tokens_b) > 0 AND {S.hamming('x', 'y')} <= 25)::INT AS prediction FROM sides JOIN f x ON x.at = pair_id || ':a' JOIN f y ON y.at = pair_id || ':b'"
+_SIM = f"{_LABELED}, {S.fingerprints('side_id', S.ngrams('tokens', 1))} SELECT label, (len(tokens_a) > 0 AND len(tokens_b) > 0 AND {S.hamming('x', 'y')} <= 25)::INT AS prediction FROM sides JOIN f x ON x.side_id = pair_id || ':a' JOIN f y ON y.side_id = pair_id || ':b'"
 
 
 @query(S.metrics(_SIM))

@@ -119,17 +119,17 @@ FROM labels a JOIN labels b ON b.doc_id = a.doc_id + 1 JOIN documents x ON x.doc
 def pairs(source: str) -> str:
     """CTEs p (pairs) and sides (pair_id, side, norm, tokens, shingles), one row a side."""
     return f"""p AS MATERIALIZED ({source}), two AS (SELECT pair_id, 'a' AS side, text_a AS text FROM p UNION ALL SELECT pair_id, 'b', text_b FROM p),
-{prepared(id='at', source="SELECT pair_id || ':' || side AS at, text FROM two")}, l AS (SELECT p.*, s.norm, s.tokens, s.shingles FROM p JOIN s ON s.at = pair_id || ':a'),
-sides AS MATERIALIZED (SELECT l.* EXCLUDE (norm, tokens, shingles), l.norm AS norm_a, l.tokens AS tokens_a, l.shingles AS shingles_a, s.norm AS norm_b, s.tokens AS tokens_b, s.shingles AS shingles_b FROM l JOIN s ON s.at = pair_id || ':b')"""
+{prepared(id='side_id', source="SELECT pair_id || ':' || side AS side_id, text FROM two")}, l AS (SELECT p.*, s.norm, s.tokens, s.shingles FROM p JOIN s ON s.side_id = pair_id || ':a'),
+sides AS MATERIALIZED (SELECT l.* EXCLUDE (norm, tokens, shingles), l.norm AS norm_a, l.tokens AS tokens_a, l.shingles AS shingles_a, s.norm AS norm_b, s.tokens AS tokens_b, s.shingles AS shingles_b FROM l JOIN s ON s.side_id = pair_id || ':b')"""
 
 
 def cosine(features: str, name: str = "c") -> str:
     """A CTE (pair_id, value), after :func:`pairs`."""
-    return f"""{name}x AS (SELECT at, unnest({features}) AS feature FROM t), {name}tf AS (SELECT at, feature, count(*) AS tf FROM {name}x GROUP BY ALL),
+    return f"""{name}x AS (SELECT side_id, unnest({features}) AS feature FROM t), {name}tf AS (SELECT side_id, feature, count(*) AS tf FROM {name}x GROUP BY ALL),
 {name}i AS (SELECT feature, ln(((SELECT count(*) FROM t) + 1) / (count(*) + 1)::DOUBLE) + 1 AS idf FROM {name}tf GROUP BY feature),
-{name}w AS MATERIALIZED (SELECT at, feature, (1 + ln(tf)) * idf AS w FROM {name}tf JOIN {name}i USING (feature)), {name}n AS (SELECT at, sqrt(sum(w * w)) AS norm FROM {name}w GROUP BY at),
-{name}d AS (SELECT split_part(x.at, ':', 1)::BIGINT AS pair_id, sum(x.w * y.w) AS dot FROM {name}w x JOIN {name}w y ON x.feature = y.feature AND x.at LIKE '%:a' AND y.at = split_part(x.at, ':', 1) || ':b' GROUP BY 1),
-{name} AS (SELECT pair_id, coalesce(dot / (x.norm * y.norm), 0.0) AS value FROM p LEFT JOIN {name}d USING (pair_id) LEFT JOIN {name}n x ON x.at = pair_id || ':a' LEFT JOIN {name}n y ON y.at = pair_id || ':b')"""
+{name}w AS MATERIALIZED (SELECT side_id, feature, (1 + ln(tf)) * idf AS w FROM {name}tf JOIN {name}i USING (feature)), {name}n AS (SELECT side_id, sqrt(sum(w * w)) AS norm FROM {name}w GROUP BY side_id),
+{name}d AS (SELECT split_part(x.side_id, ':', 1)::BIGINT AS pair_id, sum(x.w * y.w) AS dot FROM {name}w x JOIN {name}w y ON x.feature = y.feature AND x.side_id LIKE '%:a' AND y.side_id = split_part(x.side_id, ':', 1) || ':b' GROUP BY 1),
+{name} AS (SELECT pair_id, coalesce(dot / (x.norm * y.norm), 0.0) AS value FROM p LEFT JOIN {name}d USING (pair_id) LEFT JOIN {name}n x ON x.side_id = pair_id || ':a' LEFT JOIN {name}n y ON y.side_id = pair_id || ':b')"""
 
 
 def metrics(source: str, predicted: str = "prediction") -> str:
