@@ -1,7 +1,10 @@
 """The registered queries of the near-duplicate engine, with their SQL.
 
 All run over whole tables. Queries that hash use the ``md5`` profile, which SQL
-knows too, and 16 permutations in 8 bands to keep the SQL short.
+knows too. Those that search or evaluate use the whole index of 128 permutations
+in 64 bands (``FULL``); their SQL still has 16 permutations in 8 bands, and so
+finds fewer candidates. ``minhash_signature`` and ``lsh_bands`` show the first 16
+permutations (``INDEX``), which equal the SQL.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from . import sql as S
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 INDEX = LshConfig(16, 8, profile="md5")
+FULL = LshConfig(profile="md5")
 RULE = PairConfig()
 SHORT = TextConfig(adaptive_short_text=True)
 
@@ -201,42 +205,42 @@ _INDEX = f"{_G}, b AS MATERIALIZED (SELECT doc_id, unnest(range(0, 8))::INT AS b
 _CAND = f"{_INDEX}, c AS MATERIALIZED (SELECT DISTINCT a.doc_id AS document_a, b.doc_id AS document_b FROM b a JOIN b ON a.band = b.band AND a.key = b.key AND a.doc_id < b.doc_id)"
 
 
-def _signed(spark, sf):
-    return lsh.signed(docs(spark, sf), INDEX)
+def _signed(spark, sf, index: LshConfig = FULL):
+    return lsh.signed(docs(spark, sf), index)
 
 
 @query(f"{_G} SELECT doc_id, array_to_string(sig, ',') AS signature FROM g")
 def minhash_signature(spark, sf):
-    return _signed(spark, sf).select("doc_id", F.array_join(F.col("signature").cast("array<string>"), ",").alias("signature"))
+    return _signed(spark, sf, INDEX).select("doc_id", F.array_join(F.col("signature").cast("array<string>"), ",").alias("signature"))
 
 
 @query(f"{_INDEX} SELECT * FROM b")
 def lsh_bands(spark, sf):
-    return lsh.banded(_signed(spark, sf), INDEX).select("doc_id", "band", F.array_join(F.col("key").cast("array<string>"), ",").alias("key"))
+    return lsh.banded(_signed(spark, sf, INDEX), INDEX).select("doc_id", "band", F.array_join(F.col("key").cast("array<string>"), ",").alias("key"))
 
 
 @query(f"{_CAND} SELECT * FROM c")
 def lsh_candidates(spark, sf):
-    return lsh.candidates(lsh.banded(_signed(spark, sf), INDEX))
+    return lsh.candidates(lsh.banded(_signed(spark, sf), FULL))
 
 
 @query(f"{_CAND} SELECT document_a, document_b, {S.jaccard('x.shingles', 'y.shingles')} AS jaccard FROM c JOIN s x ON x.doc_id = document_a JOIN s y ON y.doc_id = document_b WHERE {S.jaccard('x.shingles', 'y.shingles')} >= 0.25")
 def lsh_verified(spark, sf):
     own = _signed(spark, sf)
-    return lsh.verified(lsh.candidates(lsh.banded(own, INDEX)), own, 0.25)
+    return lsh.verified(lsh.candidates(lsh.banded(own, FULL)), own, 0.25)
 
 
 @query(f"{_CAND} SELECT document_a, document_b, len(list_filter(range(1, 17), lambda i: x.sig[i] = y.sig[i])) / 16.0::DOUBLE AS similarity FROM c JOIN g x ON x.doc_id = document_a JOIN g y ON y.doc_id = document_b")
 def minhash_similarity(spark, sf):
     own = _signed(spark, sf)
-    both = lsh.with_sides(lsh.candidates(lsh.banded(own, INDEX)), own, ["signature"])
+    both = lsh.with_sides(lsh.candidates(lsh.banded(own, FULL)), own, ["signature"])
     return both.select("document_a", "document_b", signature_similarity(F.col("signature_a"), F.col("signature_b")).alias("similarity"))
 
 
 @query(f"""WITH d AS ({_INDEX} SELECT * FROM b), q AS ({_B}, {S.signatures('item_id', 16)} SELECT item_id, unnest(range(0, 8))::INT AS band, unnest({_BANDS}) AS key FROM g JOIN s USING (item_id) WHERE len(shingles) > 0)
 SELECT DISTINCT item_id, doc_id FROM q JOIN d USING (band, key)""")
 def lsh_query(spark, sf):
-    return lsh.query_index(lsh.banded(lsh.signed(bench(spark, sf), INDEX), INDEX, "item_id"), lsh.banded(_signed(spark, sf), INDEX), "item_id")
+    return lsh.query_index(lsh.banded(lsh.signed(bench(spark, sf), FULL), FULL, "item_id"), lsh.banded(_signed(spark, sf), FULL), "item_id")
 
 
 _TURNS = f"WITH {S.pairs(S.TURNS)}"
@@ -248,8 +252,8 @@ _IS = f"len(list_filter(range(1, 9), lambda i: {S.bands('x.sig', 8, 2)}[i] = {S.
 def lsh_is_candidate(spark, sf):
     own = PL.pair_frame(turns(spark, sf))
     for s in "ab":
-        own = lsh.signed(own, INDEX, f"shingles_{s}", f"signature_{s}")
-    return own.select("pair_id", lsh.is_candidate(F.col("signature_a"), F.col("signature_b"), INDEX).cast("int").alias("candidate"))
+        own = lsh.signed(own, FULL, f"shingles_{s}", f"signature_{s}")
+    return own.select("pair_id", lsh.is_candidate(F.col("signature_a"), F.col("signature_b"), FULL).cast("int").alias("candidate"))
 
 
 @query("SELECT k::INT AS step, round(1 - (1 - (k / 20.0) ** 2) ** 64, 6) AS probability FROM range(0, 21) r(k)")
@@ -269,11 +273,11 @@ SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) * (count(
 round(1 - count(*) / (SELECT count(*) * (count(*) - 1) // 2 FROM documents)::DOUBLE, 6) AS reduction_ratio, count(*) FILTER (j >= 0.25) AS accepted_by_jaccard, {round(INDEX.approximate_threshold, 6)}::DOUBLE AS lsh_approximate_threshold FROM j""")
 def corpus_summary(spark, sf):
     own = _signed(spark, sf)
-    found = lsh.with_sides(lsh.candidates(lsh.banded(own, INDEX)), own, ["shingles"]).select((jaccard(F.col("shingles_a"), F.col("shingles_b")) >= 0.25).cast("long").alias("ok"))
+    found = lsh.with_sides(lsh.candidates(lsh.banded(own, FULL)), own, ["shingles"]).select((jaccard(F.col("shingles_a"), F.col("shingles_b")) >= 0.25).cast("long").alias("ok"))
     total = table(spark, sf, "documents").agg(F.count("*").alias("documents"))
     both = total.crossJoin(found.agg(F.count("*").alias("lsh_candidate_pairs"), F.coalesce(F.sum("ok"), F.lit(0)).alias("accepted_by_jaccard")))
     pairs = F.expr("documents * (documents - 1) div 2")
-    return both.select("documents", pairs.alias("all_possible_pairs"), "lsh_candidate_pairs", F.round(F.coalesce(1 - F.try_divide("lsh_candidate_pairs", pairs), F.lit(0.0)), 6).alias("reduction_ratio"), "accepted_by_jaccard", F.lit(round(INDEX.approximate_threshold, 6)).alias("lsh_approximate_threshold"))
+    return both.select("documents", pairs.alias("all_possible_pairs"), "lsh_candidate_pairs", F.round(F.coalesce(1 - F.try_divide("lsh_candidate_pairs", pairs), F.lit(0.0)), 6).alias("reduction_ratio"), "accepted_by_jaccard", F.lit(round(FULL.approximate_threshold, 6)).alias("lsh_approximate_threshold"))
 
 
 @query(f"{_D} SELECT md5(norm) AS digest, count(*) AS copies, min(doc_id) AS first_id FROM n GROUP BY 1 HAVING count(*) > 1")
@@ -412,7 +416,7 @@ _LSH = f"{_LABELED}, {S.signatures('side_id', 16)} SELECT pair_id, label, (len(s
 
 
 def _scored(spark, sf, rule: PairConfig = RULE):
-    return PL.score_pairs(labeled(spark, sf), index=INDEX, rule=rule)
+    return PL.score_pairs(labeled(spark, sf), index=FULL, rule=rule)
 
 
 @query(S.metrics("SELECT quality AS label, toxic AS prediction FROM labels"))
@@ -424,9 +428,9 @@ def classification_metrics(spark, sf):
 def candidate_recall(spark, sf):
     own = PL.pair_frame(labeled(spark, sf))
     for s in "ab":
-        own = lsh.signed(own, INDEX, f"shingles_{s}", f"signature_{s}")
+        own = lsh.signed(own, FULL, f"shingles_{s}", f"signature_{s}")
     some = (F.size("shingles_a") > 0) & (F.size("shingles_b") > 0)
-    return metrics.candidate_metrics(own.withColumn("candidate", (some & lsh.is_candidate(F.col("signature_a"), F.col("signature_b"), INDEX)).cast("int")))
+    return metrics.candidate_metrics(own.withColumn("candidate", (some & lsh.is_candidate(F.col("signature_a"), F.col("signature_b"), FULL)).cast("int")))
 
 
 @query(S.metrics(f"SELECT label, (candidate = 1 AND j >= 0.25)::INT AS prediction FROM ({_LSH})"))
@@ -563,5 +567,5 @@ def similarity_histogram(spark, sf):
 SELECT DISTINCT item_id, doc_id FROM q JOIN d USING (band, key)""")
 def stream_probe(spark, sf):
     """Benchmark items as the static index, documents as they would arrive."""
-    return probe(lsh.banded(lsh.signed(bench(spark, sf), INDEX), INDEX, "item_id"), _signed(spark, sf), INDEX, "item_id", "doc_id").distinct()
+    return probe(lsh.banded(lsh.signed(bench(spark, sf), FULL), FULL, "item_id"), _signed(spark, sf), FULL, "item_id", "doc_id").distinct()
 
