@@ -19,9 +19,9 @@ similarity of ``threshold`` at least.
    blocks is searched on its own, so that no task holds more than two blocks
    and no pair is lost.
 
-The result is the join without its redundancy: identical sets give a row each
-to the lowest id, all other pairs are between these lowest ids. Every pair that
-reaches the threshold follows from it.
+The result of :func:`similar` is the whole join: what is found between two sets
+is expanded over the documents of both, and the documents of one set are paired
+with each other. Its size grows with the square of a group of copies.
 
 Defined results: null and empty texts, and those without words, match nothing;
 texts of fewer than n words have their whole run as the only n-gram; rows of
@@ -238,9 +238,15 @@ def _search(spark: SparkSession, docs: DataFrame, n: int, threshold: float, band
 def similar(spark: SparkSession, docs: DataFrame, n: int = N, threshold: float = THRESHOLD, bands_: int = BANDS, rows: int = ROWS, cell: int = CELL, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(doc_id_a, doc_id_b, overlap, jaccard), as described above."""
     sets, pairs = _search(spark, docs, n, threshold, bands_, rows, cell, broadcast_rows)
-    rep = F.min("doc_id").over(Window.partitionBy("name", "size"))
-    equal = sets.withColumn("rep", rep).where("not (doc_id <=> rep)").select(F.col("rep").alias("doc_id_a"), F.col("doc_id").alias("doc_id_b"), F.col("size").alias("overlap"), F.lit(1.0).alias("jaccard")).distinct()
-    return equal.union(pairs.select("doc_id_a", "doc_id_b", "overlap", "jaccard"))
+    own = sets.select("name", "size", "doc_id").distinct()  # rows of one id and set are one document
+    a, b = own.toDF("name_a", "overlap", "x"), own.toDF("name_b", "size", "y")
+    in_order = F.col("x").isNotNull() & (F.col("y").isNull() | (F.col("x") < F.col("y")))
+    equal = a.join(b, (F.col("name_a") == F.col("name_b")) & (F.col("overlap") == F.col("size")) & in_order)
+    equal = equal.select(F.col("x").alias("doc_id_a"), F.col("y").alias("doc_id_b"), "overlap", F.lit(1.0).alias("jaccard"))
+    near = pairs.select("name_a", "name_b", "overlap", "jaccard").join(a.drop("overlap"), "name_a").join(b.drop("size"), "name_b")
+    swap = F.col("x").isNull() | (F.col("x") > F.col("y"))
+    near = near.select(F.when(swap, F.col("y")).otherwise(F.col("x")).alias("doc_id_a"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("doc_id_b"), "overlap", "jaccard")
+    return equal.union(near)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, n: int = N, threshold: float = THRESHOLD, bands_: int = BANDS, rows: int = ROWS, cell: int = CELL, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
