@@ -13,7 +13,8 @@ candidate is verified by exact shingle containment on the words themselves.
 
 Defined results: null and empty texts hold no shingles and match nothing; an
 item of ``1 <= k < n`` words is one shingle of ``k`` words; items without words
-and items whose text is null never match; repeated items and repeated documents
+and items whose text is null never match; an item whose id is null matches like
+any other; repeated items and repeated documents
 each give their own row (once per distinct ``item_id`` and row).
 """
 
@@ -184,6 +185,8 @@ def _by_shuffle(thin: DataFrame, items: DataFrame, n: int, threshold: float, rec
     # one overlap for all items, the least possible, so that no pass over them is needed to choose the bins
     more = {k: extra_bits(1 if k < n else math.ceil(threshold), recall) for k in range(1, n + 1)}
     thin = thin.withColumn("content", F.xxhash64("norm"))
+    # ids may be null or repeat, so an item is known by its id and words
+    items = items.withColumn("item", F.xxhash64("item_id", "norm"))
 
     def of_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -201,18 +204,18 @@ def _by_shuffle(thin: DataFrame, items: DataFrame, n: int, threshold: float, rec
 
     def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for item_id, text in zip(b.column("item_id").to_pylist(), b.column("norm").to_pylist(), strict=True):
+            for item, text in zip(b.column("item").to_pylist(), b.column("norm").to_pylist(), strict=True):
                 w = C.hash_words(text.split())
                 k = min(n, len(w))
                 u = np.unique(C.shingles(w, np.array([0, len(w)]), k)[0])
                 for bits in range(0, 60):
                     m = minima(u, bits)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), item_id)), pa.array(np.full(len(m), k, np.int32)), pa.array(np.full(len(m), bits, np.int32)), pa.array(m.view(np.int64))], names=["item_id", "k", "bits", "h"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), item)), pa.array(np.full(len(m), k, np.int32)), pa.array(np.full(len(m), bits, np.int32)), pa.array(m.view(np.int64))], names=["item", "k", "bits", "h"])
 
     left = thin.mapInArrow(of_docs, "doc_id long, content long, k int, bits int, h long")
-    right = items.where("item_id is not null").mapInArrow(of_items, "item_id long, k int, bits int, h long")
-    found = left.join(right, ["k", "bits", "h"]).select("doc_id", "content", "item_id").distinct()
-    found = found.join(items, "item_id").withColumnRenamed("norm", "item_norm").withColumnRenamed("doc_id", "_doc").withColumnRenamed("content", "_content")
+    right = items.select("item", "norm").mapInArrow(of_items, "item long, k int, bits int, h long")
+    found = left.join(right, ["k", "bits", "h"]).select("doc_id", "content", "item").distinct()
+    found = found.join(items, "item").withColumnRenamed("norm", "item_norm").withColumnRenamed("doc_id", "_doc").withColumnRenamed("content", "_content")
     both = thin.join(found, thin.doc_id.eqNullSafe(found["_doc"]) & (thin.content == found["_content"])).select("doc_id", "content", "norm", "item_id", "item_norm")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
