@@ -162,8 +162,8 @@ def _searched(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[p
 
     def pairs(group: list) -> list[tuple]:
         once = list({g[0]: g for g in group}.values())  # equal rows name the same set
-        side = np.array([g[3] for g in once])
-        found = t_occurrence([np.frombuffer(g[2], U64) for g in once], threshold, side if (side >= 0).any() and len(set(side.tolist())) > 1 else None)
+        side = np.array([g[3] for g in once])  # at least 0 between two blocks, also where one of them is empty
+        found = t_occurrence([np.frombuffer(g[2], U64) for g in once], threshold, side if (side >= 0).any() else None)
         out = []
         for i, j, k in found:
             a, b = sorted((once[i], once[j]), key=lambda x: (x[1] is None, x[1], x[0]))

@@ -30,3 +30,9 @@ def pairs(spark, rows, **how):
 def test_every_pair_of_copies_and_near_copies(spark):
     want = brute(ROWS)
     assert len(want) == 3 + 3 + 9 + 1 and pairs(spark, ROWS) == want
+
+
+def test_small_cells_give_every_pair_once(spark):
+    """More blocks than sets: some are empty, and others hold several sets."""
+    rows = [*ROWS, *((20 + i, A.replace("ten", f"end{i}")) for i in range(8))]
+    assert pairs(spark, rows, cell=4) == brute(rows)
