@@ -1,15 +1,19 @@
 """Language-model scoring with a hashed maximum-entropy model.
 
-The next word's probability is factored: a softmax over classes, then a softmax
-over the members of that class. Both are log-linear in the same features, the
-n-grams that end before the word and skip-grams around gaps, hashed into tables
-of ``2^bits`` rows; a row holds a weight for every class, or every member.
+The next word's probability is factored: a softmax over classes, a softmax over
+the members of that class and, below the members that stand for many words,
+softmaxes over ``FAN`` branches each, down to the word itself. All are log-linear
+in the same features, the n-grams that end before the word and skip-grams around
+gaps, of the words themselves, hashed into three tables of ``2^bits`` rows; a row
+holds a weight for every class, member or branch.
 
 1. Word counts over all documents. The most frequent words get a slot of their
-   own, the others share ``RARE`` hashed slots; a class is a run of slots by
-   frequency. The counts also give the unigram logits that the features correct,
-   and how many words share each rare slot, over which its probability spreads.
-2. Documents are written once as slots, two bytes a word.
+   own, the others are leaves of a tree below one of ``RARE`` hashed slots; a
+   class is a run of slots by frequency. Leaves, depth and rows follow the number
+   of distinct words. The counts give the unigram logits that the features
+   correct, so every word has its own. A leaf of each tree is for words that the
+   corpus doesn't have.
+2. Documents are written once as ranks of words, four bytes a word.
 3. Gradient updates, distributed: the corpus is cut into ``ROUNDS`` parts by a
    hash of the content. In a round every task starts from the same weights,
    makes AdaGrad steps over its share, whole documents, every position, and
@@ -19,8 +23,8 @@ of ``2^bits`` rows; a row holds a weight for every class, or every member.
 4. Documents are scored in numpy batches, gathering only rows their features
    name.
 
-Model and broadcast have a fixed size (``2^bits`` rows of two tables); what is
-counted, trained on and shuffled follows the corpus.
+Model and broadcast follow the distinct words (about 30 bytes each, and ``2^bits``
+rows of three tables); what is counted, trained on and shuffled follows the corpus.
 
 Defined results: a row for each input row. Null, empty and wordless texts have 0
 words and null scores; repeated rows score alike; other columns are ignored; an
@@ -31,9 +35,11 @@ floats are not the same in every batch.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +47,8 @@ from . import common as C
 
 U64 = np.uint64
 CLASSES, MEMBERS, RARE, BITS, ROUNDS = 32, 32, 128, 15, 4
+#: Branches of a node below a rare slot.
+FAN = 32
 RATE, MINI, EPS = 0.12, 2048, 1e-3
 #: Words back from the predicted one: n-grams of one and two, and a skip over one.
 FEATURES = ((1,), (1, 2), (2,))
@@ -57,49 +65,97 @@ class Shape:
 
 
 class Model:
-    """Vocabulary, unigram logits and the two weight tables."""
+    """Vocabulary, unigram logits and the three weight tables."""
 
-    def __init__(self, shape: Shape, words: list[tuple[int, int]], rare: dict[int, tuple[int, int]]):
-        self.shape = shape
-        h = np.array([w for w, _ in words], np.int64).view(U64)
+    def __init__(self, shape: Shape, h: np.ndarray, n: np.ndarray):
+        """``h``, ``n``: hashes and counts of all words, from the most frequent on."""
+        self.shape, self.words = shape, len(h)
+        self.bits = max(shape.bits, (len(h) // FAN).bit_length())  # a weight for each word, at least
+        known, rare = h[: shape.known], h[shape.known :]
         # a table by leading bits in which no two known words meet
-        self.hash, self.shift = h, U64(44)
-        while len(np.unique(h >> self.shift)) < len(np.unique(h)) and self.shift > 38:
+        self.hash, self.shift = known, U64(44)
+        while len(np.unique(known >> self.shift)) < len(np.unique(known)) and self.shift > 38:
             self.shift -= U64(1)
         self.place = np.zeros(1 << int(U64(64) - self.shift), np.uint16)
-        self.place[(h >> self.shift).astype(np.int64)] = np.arange(len(h))
+        self.place[(known >> self.shift).astype(np.int64)] = np.arange(len(known))
+        order = np.argsort(rare)
+        self.rare_hash, self.rare_rank = rare[order], (order + len(known)).astype(np.uint32)
+        # leaf 0 of each slot is for unknown words, the others are its words by frequency
+        slot = (rare % U64(shape.rare)).astype(np.int64)
+        by_slot = np.argsort(slot, kind="stable")
+        sizes = np.bincount(slot, minlength=shape.rare)
+        leaf = np.empty(len(rare), np.int64)
+        leaf[by_slot] = np.arange(len(rare)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
+        self.slot = np.concatenate([np.arange(len(known)), shape.known + slot, shape.known + np.arange(shape.rare)]).astype(np.uint16)
+        self.leaf = np.concatenate([np.zeros(len(known)), leaf, np.zeros(shape.rare)]).astype(np.uint32)
+        self.start = len(self.slot)
+        below = np.zeros((shape.rare, int(sizes.max()) + 1))
+        below[:, 0] = 0.5
+        below[slot, leaf] = n[shape.known :]
         count = np.full(shape.slots, 0.5)
-        count[: len(words)] += [n for _, n in words]
-        self.spread = np.zeros(shape.slots, np.float32)
-        for s, (total, distinct) in rare.items():
-            count[shape.known + s] += total
-            self.spread[shape.known + s] = np.log(distinct)
+        count[: len(known)] += n[: shape.known]
+        count[shape.known :] = below.sum(1)
+        self.tree: list[np.ndarray] = []  # logits of the branches, (slot, node, branch), from the top on
+        while not self.tree or below.shape[1] > 1:
+            below = np.pad(below, ((0, 0), (0, -below.shape[1] % FAN))).reshape(shape.rare, -1, FAN)
+            up = below.sum(2)
+            self.tree.insert(0, (np.log(np.maximum(below, 1e-9)) - np.log(np.maximum(up, 1e-9))[:, :, None]).astype(np.float32))
+            below = up
         count = count.reshape(shape.classes, shape.members)
         self.a0 = np.log(count.sum(1) / count.sum()).astype(np.float32)
         self.b0 = np.log(count / count.sum(1, keepdims=True)).astype(np.float32)
-        self.tables = [np.zeros((1 << shape.bits, shape.classes), np.float32), np.zeros((1 << shape.bits, shape.members), np.float32)]
-        self.acc = [np.zeros(1 << shape.bits, np.float32) for _ in range(2)]
-
-    def slots(self, h: np.ndarray) -> np.ndarray:
-        out = (self.shape.known + (h % U64(self.shape.rare)).astype(np.int64)).astype(np.uint16)
+        self.tables = [np.zeros((1 << self.bits, width), np.float32) for width in (shape.classes, shape.members, FAN)]
+        self.acc = [np.zeros(1 << self.bits, np.float32) for _ in self.tables]
+
+    def without(self, *names: str) -> Model:
+        """A copy to send where these parts aren't used."""
+        new = copy(self)
+        for name in names:
+            setattr(new, name, None)
+        return new
+
+    def ranks(self, h: np.ndarray) -> np.ndarray:
+        """Each word's rank; one for the slot of a word that the corpus doesn't have."""
+        out = np.empty(len(h), np.uint32)
+        rest = np.ones(len(h), bool)
         if len(self.hash):
             at = self.place[(h >> self.shift).astype(np.int64)]
             same = self.hash[at] == h
-            out[same] = at[same]
+            out[same], rest = at[same], ~same
+        rest = np.flatnonzero(rest)
+        u, back = np.unique(h[rest], return_inverse=True)
+        ranks = (self.words + (u % U64(self.shape.rare)).astype(np.int64)).astype(np.uint32)
+        if len(self.rare_hash):
+            at = np.minimum(np.searchsorted(self.rare_hash, u), len(self.rare_hash) - 1)
+            same = self.rare_hash[at] == u
+            ranks[same] = self.rare_rank[at[same]]
+        out[rest] = ranks[back]
         return out
 
-    def rows(self, past: list[np.ndarray], klass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of either table, features x positions."""
-        shift = U64(64 - self.shape.bits)
-        a = np.empty((len(FEATURES), len(klass)), np.int64)
-        b = np.empty_like(a)
+    def choices(self, past: list[np.ndarray], target: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(table, positions, rows, logits, truth) of every softmax on the way to
+        the words; rows are features x positions."""
+        shift = U64(64 - self.bits)
+        keys = np.empty((len(FEATURES), len(target)), U64)
         for k, back in enumerate(FEATURES):
-            key = np.full(len(klass), k + 1, U64)
+            keys[k] = k + 1
             for o in back:
-                key = key * U64(self.shape.slots + 1) + past[o - 1]
-            a[k] = (key * _ODD) >> shift
-            b[k] = ((key * U64(self.shape.classes) + klass) * U64(0xD6E8FEB86659FD93)) >> shift
-        return a, b
+                keys[k] = (keys[k] + past[o - 1]) * _ODD
+                keys[k] ^= keys[k] >> U64(29)
+        slot, at = self.slot[target].astype(np.int64), np.arange(len(target))
+        klass, member = np.divmod(slot, self.shape.members)
+
+        def rows(own: np.ndarray, node: np.ndarray) -> np.ndarray:
+            return (((own + node.astype(U64)) * U64(0xD6E8FEB86659FD93)) >> shift).astype(np.int64)
+
+        yield 0, at, rows(keys, np.zeros(1)), self.a0, klass
+        yield 1, at, rows(keys, klass + 1), self.b0[klass], member
+        at = np.flatnonzero(slot >= self.shape.known)
+        if len(at):
+            low, leaf, keys = slot[at] - self.shape.known, self.leaf[target[at]].astype(np.int64), keys[:, at]
+            for k, tree in enumerate(self.tree):
+                node, branch = np.divmod(leaf // FAN ** (len(self.tree) - 1 - k), FAN)
+                yield 2, at, rows(keys, (node * self.shape.rare + low) * 16 + k), tree[low, node], branch
 
     def logits(self, table: int, rows: np.ndarray, base: np.ndarray) -> np.ndarray:
         w = self.tables[table]
@@ -111,19 +167,15 @@ class Model:
         return z
 
     def step(self, past: list[np.ndarray], target: np.ndarray, touched: list[np.ndarray]) -> None:
-        n = len(target)
-        klass, member = np.divmod(target.astype(np.int64), self.shape.members)
-        at = np.arange(n)
-        rows = self.rows(past, klass.astype(U64))
-        for t, (base, truth) in enumerate(((self.a0, klass), (self.b0[klass], member))):
-            p = self.logits(t, rows[t], base)
+        for t, pos, rows, base, truth in self.choices(past, target):
+            p = self.logits(t, rows, base)
             np.exp(p, out=p)
             p *= (-1 / _row_sums(p))[:, None]
-            p[at, truth] += 1
+            p[np.arange(len(pos)), truth] += 1
             acc, flat, width = self.acc[t], self.tables[t].reshape(-1), p.shape[1]
             size = np.einsum("ij,ij->i", p, p) / np.float32(width)
             change, place, columns = np.empty_like(p), np.empty(p.shape, np.int64), np.arange(width)
-            for r in rows[t]:  # positions that share a row add up
+            for r in rows:  # positions that share a row add up
                 np.add.at(acc, r, size)
                 np.multiply(p, (RATE / np.sqrt(acc[r] + EPS))[:, None], out=change)
                 np.add((r * width)[:, None], columns, out=place)
@@ -131,15 +183,12 @@ class Model:
                 np.add.at(touched[t], r, np.float32(1))
 
     def log_probability(self, past: list[np.ndarray], target: np.ndarray) -> np.ndarray:
-        klass, member = np.divmod(target.astype(np.int64), self.shape.members)
-        at = np.arange(len(target))
-        out = -self.spread[target]
-        rows = self.rows(past, klass.astype(U64))
-        for t, (base, truth) in enumerate(((self.a0, klass), (self.b0[klass], member))):
-            z = self.logits(t, rows[t], base)
-            out += z[at, truth]
+        out = np.zeros(len(target), np.float32)
+        for t, pos, rows, base, truth in self.choices(past, target):
+            z = self.logits(t, rows, base)
+            own = z[np.arange(len(pos)), truth]
             np.exp(z, out=z)
-            out -= np.log(_row_sums(z))
+            out[pos] += own - np.log(_row_sums(z))
         return out
 
 
@@ -147,22 +196,22 @@ def _row_sums(p: np.ndarray) -> np.ndarray:
     return p @ np.ones(p.shape[1], np.float32)  # faster than sum(axis=1)
 
 
-def batches_of(offset: np.ndarray, flat: np.ndarray, shape: Shape, size: int = MINI) -> Iterator[tuple[int, list[np.ndarray], np.ndarray]]:
+def batches_of(offset: np.ndarray, flat: np.ndarray, none: int, size: int = MINI) -> Iterator[tuple[int, list[np.ndarray], np.ndarray]]:
     """(first position, words before, words) of runs of ``size`` positions of
-    documents that lie end to end; none sees the document before its own."""
+    documents that lie end to end; none sees the document before its own, but ``none``."""
     reach = max(o for f in FEATURES for o in f)
     start = np.repeat(offset[:-1], np.diff(offset))
     for i in range(0, len(flat), size):
         j = min(i + size, len(flat))
         pos = np.arange(i, j)
         inside = pos - start[i:j]
-        past = [np.where(inside >= o, flat[np.maximum(pos - o, 0)], shape.slots).astype(U64) for o in range(1, reach + 1)]
+        past = [np.where(inside >= o, flat[np.maximum(pos - o, 0)], none).astype(U64) for o in range(1, reach + 1)]
         yield i, past, flat[i:j]
 
 
-def _slots_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _ranks_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     off, data = C.string_buffers(col)
-    return (off - off[0]) // 2, np.frombuffer(data[off[0] : off[-1]].tobytes(), np.uint16)
+    return (off - off[0]) // 4, np.frombuffer(data[off[0] : off[-1]].tobytes(), np.uint32)
 
 
 def _counts(docs: DataFrame) -> DataFrame:
@@ -189,47 +238,46 @@ def _counts(docs: DataFrame) -> DataFrame:
     return docs.select(C.norm(F.col("text")).alias("norm")).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def encoded(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, part, slots): every row of ``docs`` as the slots of its words."""
-    known, rounds = spark.sparkContext.broadcast(model), model.shape.rounds
+#: What only the ranks of words, and what only their probabilities need.
+VOCABULARY, WEIGHTS = ("hash", "place", "rare_hash", "rare_rank"), ("slot", "leaf", "tree", "tables", "acc")
+
+
+def encoded(docs: DataFrame, known: Broadcast, rounds: int) -> DataFrame:
+    """(doc_id, part, ranks): every row of ``docs`` as the ranks of its words."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, last, w in C.word_chunks(b.column("norm"), chunk=8 << 20):
-                flat = known.value.slots(w.hash)
-                data = pa.Array.from_buffers(pa.binary(), last - first, [None, pa.py_buffer((w.offset * 2).astype(np.int32)), pa.py_buffer(flat)])
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(first, last - first), data], names=["doc_id", "slots"])
+                flat = known.value.ranks(w.hash)
+                data = pa.Array.from_buffers(pa.binary(), last - first, [None, pa.py_buffer((w.offset * 4).astype(np.int32)), pa.py_buffer(flat)])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(first, last - first), data], names=["doc_id", "ranks"])
 
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.norm(F.col("text")).alias("norm"))
-    out = thin.mapInArrow(encode, "doc_id long, slots binary")
-    return out.withColumn("part", F.pmod(F.xxhash64("slots"), F.lit(rounds)).cast("int"))
+    out = thin.mapInArrow(encode, "doc_id long, ranks binary")
+    return out.withColumn("part", F.pmod(F.xxhash64("ranks"), F.lit(rounds)).cast("int"))
 
 
 def train(spark: SparkSession, docs: DataFrame, shape: Shape | None = None) -> tuple[Model, DataFrame]:
     """The model of ``docs``, and ``docs`` encoded."""
     shape = shape or Shape()
     counts = C.written(spark, _counts(docs), "lm-counts")
-    words = [(r.word, r.n) for r in counts.orderBy(F.desc("n"), "word").limit(shape.known).collect()]
-    least = words[-1][::-1] if words else (0, 0)
-    rest = counts.where((F.col("n") < least[0]) | ((F.col("n") == least[0]) & (F.col("word") > least[1])))
-    # the slot is that of the unsigned hash
-    slot = F.pmod(F.pmod(F.col("word"), F.lit(shape.rare)) + F.when(F.col("word") < 0, F.lit((1 << 64) % shape.rare)).otherwise(0), F.lit(shape.rare))
-    rare = {r.slot: (r.n, r.words) for r in rest.groupBy(slot.cast("int").alias("slot")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect()}
-    model = Model(shape, words, rare)
-    own = C.written(spark, encoded(spark, docs, model), "lm-encoded")
-    for part in range(shape.rounds if words else 0):
+    counts = counts.orderBy(F.desc("n"), "word").toArrow()
+    words = counts["word"].to_numpy().view(U64)
+    model = Model(shape, words, counts["n"].to_numpy())
+    known = spark.sparkContext.broadcast(model.without(*WEIGHTS))
+    own = C.written(spark, encoded(docs, known, shape.rounds), "lm-encoded")
+    known.destroy()
+    for part in range(shape.rounds if len(words) else 0):
         _round(spark, own.where(F.col("part") == part), model)
     return model, own
 
 
 def _round(spark: SparkSession, own: DataFrame, model: Model) -> None:
     """One exchange of updates; changes ``model``."""
-    shared = spark.sparkContext.broadcast(model)
-    blocks = -(-(1 << model.shape.bits) // BLOCK)
+    shared = spark.sparkContext.broadcast(model.without(*VOCABULARY))
+    blocks = -(-(1 << model.bits) // BLOCK)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from copy import copy
-
         from pyspark import TaskContext
 
         old = shared.value
@@ -237,11 +285,11 @@ def _round(spark: SparkSession, own: DataFrame, model: Model) -> None:
         new.tables, new.acc = [t.copy() for t in old.tables], [a.copy() for a in old.acc]
         touched = [np.zeros(len(a), np.float32) for a in old.acc]
         for b in batches:
-            offset, flat = _slots_of(b.column(0))
-            for _, past, target in batches_of(offset, flat, old.shape):
+            offset, flat = _ranks_of(b.column(0))
+            for _, past, target in batches_of(offset, flat, old.start):
                 new.step(past, target, touched)
         out = []
-        for t in range(2):
+        for t in range(len(touched)):
             for k in range(blocks):
                 n = touched[t][k * BLOCK : (k + 1) * BLOCK]
                 hit = np.flatnonzero(n)
@@ -272,24 +320,25 @@ def _round(spark: SparkSession, own: DataFrame, model: Model) -> None:
         if now:
             yield done()
 
-    deltas = own.select("slots").mapInArrow(learn, "t int, block int, task int, hit binary, n binary, acc binary, change binary")
+    # a task for each core, as every task sends the rows it touched
+    deltas = own.select("ranks").coalesce(max(1, spark.sparkContext.defaultParallelism)).mapInArrow(learn, "t int, block int, task int, hit binary, n binary, acc binary, change binary")
     sums = deltas.repartition("t", "block").sortWithinPartitions("t", "block", "task").mapInArrow(merge, "t int, block int, acc binary, change binary")
     for r in sums.collect():  # the model's size, whatever the corpus
         lo, hi = r.block * BLOCK, min((r.block + 1) * BLOCK, len(model.acc[r.t]))
         model.acc[r.t][lo:hi] += np.frombuffer(r.acc, np.float32)[: hi - lo]
         model.tables[r.t][lo:hi] += np.frombuffer(r.change, np.float32).reshape(BLOCK, -1)[: hi - lo]
-    shared.unpersist()
+    shared.destroy()
 
 
 def score_encoded(spark: SparkSession, own: DataFrame, model: Model) -> DataFrame:
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(model.without(*VOCABULARY, "acc"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            offset, flat = _slots_of(b.column("slots"))
+            offset, flat = _ranks_of(b.column("ranks"))
             lp = np.zeros(len(flat))
-            for i, past, target in batches_of(offset, flat, m.shape):
+            for i, past, target in batches_of(offset, flat, m.start):
                 lp[i : i + len(target)] = m.log_probability(past, target)
             total = np.diff(np.concatenate([[0], np.cumsum(lp)])[offset]) / -np.log(2)
             n = np.diff(offset)
@@ -297,7 +346,7 @@ def score_encoded(spark: SparkSession, own: DataFrame, model: Model) -> DataFram
             none = n == 0
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(np.round(total, 3), mask=none), pa.array(np.round(each, 3), mask=none), pa.array(np.round(np.exp2(each), 2), mask=none)], names=["doc_id", "words", "bits", "bits_per_word", "perplexity"])
 
-    return own.select("doc_id", "slots").mapInArrow(score, "doc_id long, words long, bits double, bits_per_word double, perplexity double")
+    return own.select("doc_id", "ranks").mapInArrow(score, "doc_id long, words long, bits double, bits_per_word double, perplexity double")
 
 
 def scored(spark: SparkSession, docs: DataFrame, corpus: DataFrame | None = None, shape: Shape | None = None) -> DataFrame:
@@ -305,7 +354,7 @@ def scored(spark: SparkSession, docs: DataFrame, corpus: DataFrame | None = None
     model of ``corpus``, by default of ``docs`` themselves."""
     model, own = train(spark, docs if corpus is None else corpus, shape)
     if corpus is not None:
-        own = encoded(spark, docs, model)
+        own = encoded(docs, spark.sparkContext.broadcast(model.without(*WEIGHTS)), model.shape.rounds)
     return score_encoded(spark, own, model)
 
 
