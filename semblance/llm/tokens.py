@@ -209,12 +209,13 @@ def id_arrays(col: pa.Array, path: str) -> Iterator[tuple[int, int, np.ndarray,
 
 
 def dictionary(docs: DataFrame, path: str = VOCABULARY, dict_bytes: int = DICT_BYTES, sample: int = SAMPLE) -> bytes:
-    """A dictionary trained on id arrays of documents chosen by hash."""
+    """A dictionary trained on id arrays of distinct texts chosen by hash."""
     import zstandard
 
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     share = min(1.0, 1.25 * sample / max(total, 1))  # an array takes about 0.8 of its text
     own = docs.select(F.coalesce("text", F.lit("")).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    own = own.withColumn("h", F.xxhash64("text")).dropDuplicates(["h"]).select("text")  # of many copies one
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
