@@ -56,7 +56,7 @@ N, THRESHOLD = 5, 0.4
 #: n-grams in one block of a cell.
 CELL = 500_000
 #: n-grams that meet in one bucket, and that a task holds before it sends them there.
-BUCKET, CHUNK = 4_000_000, 2_000_000
+BUCKET, CHUNK = 2_000_000, 2_000_000
 #: n-grams known to be frequent, at most; sets they are looked for in; least share of these sets that has them.
 HOT, SAMPLE, SHARE = 1 << 20, 1 << 14, 2.0**-12
 #: Rows of (id, content) of 17 bytes are sent to every executor up to so many, and joined by shuffle beyond.
@@ -457,9 +457,9 @@ def _pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _read(spark: SparkSession, docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """``docs`` as (doc_id, content, norm), and the stored (doc_id, content,
-    name, size) of every row; name is null without words."""
-    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.norm(F.col("text")).alias("norm")).withColumn("content", F.xxhash64("norm"))
+    """``docs`` as (doc_id, content, text), content being a hash of the text, and
+    the stored (doc_id, content, name, size) of every row; name is null without words."""
+    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("content"), "text")
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -468,7 +468,7 @@ def _read(spark: SparkSession, docs: DataFrame, n: int) -> tuple[DataFrame, Data
                 name[row], size[row] = identity(u), len(u)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("content"), pa.array(name, mask=size == 0), pa.array(size)], names=["doc_id", "content", "name", "size"])
 
-    own = thin.select("doc_id", "content", "norm").mapInArrow(named, "doc_id long, content long, name long, size int")
+    own = thin.select("doc_id", "content", C.norm(F.col("text")).alias("norm")).mapInArrow(named, "doc_id long, content long, name long, size int")
     return thin, C.written(spark, own, "jaccard-sets")
 
 
@@ -492,7 +492,7 @@ def _frequent(texts: DataFrame, count: int, n: int, most: int) -> tuple[np.ndarr
             u, k = np.append(u[k > 1], U64(0)), np.append(k[k > 1], len(sets))
             yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(k)], names=["gram", "k"])
 
-    some = texts.where(F.pmod(F.col("content"), F.lit(1 << 20)) < int(min(1.0, share) * (1 << 20))).select("norm")
+    some = texts.where(F.pmod(F.col("content"), F.lit(1 << 20)) < int(min(1.0, share) * (1 << 20))).select(C.norm(F.col("text")))
     total = some.mapInArrow(seen, "gram long, k long").groupBy("gram").agg(F.sum("k").alias("k"))
     got = total.where(F.col("k") >= 8).orderBy(F.desc("k"), "gram").limit(most + 1).toArrow()
     gram, k = got["gram"].to_numpy().view(U64), got["k"].to_numpy()
@@ -510,16 +510,16 @@ def _search(spark: SparkSession, docs: DataFrame, n: int, threshold: float, pair
     ids = own.where("size > 0").groupBy("name").agg(F.first("size").alias("size"), F.count("*").alias("docs"), F.min(key).alias("rep"))
     copies = own.join(ids.where("docs > 1").select(F.col("name").alias("_name"), "rep"), F.col("name") == F.col("_name")).where(key != F.col("rep")).select("doc_id", "content").distinct()
     copies = C.written(spark, copies, "jaccard-copies")
-    texts = without(thin.where("norm <> ''"), copies, "content", broadcast_rows)
+    texts = without(thin, copies, "content", broadcast_rows)
     total, count = ids.agg(F.sum("size"), F.count("*")).first()
     bits = min(23, max(0, ((total or 0) // bucket).bit_length()))
     frequent, rank = _frequent(texts, count, n, hot)
     known = spark.sparkContext.broadcast((frequent, rank))
 
     def in_buckets(df: DataFrame) -> DataFrame:
-        return df.repartition("bucket").sortWithinPartitions("bucket")
+        return df.repartitionById(1 << bits, F.col("bucket")).sortWithinPartitions("bucket")
 
-    asked = texts.select("norm").mapInArrow(lambda it: _asked(it, n, bits, *known.value), _PACKED)
+    asked = texts.select(C.norm(F.col("text"))).mapInArrow(lambda it: _asked(it, n, bits, *known.value), _PACKED)
     answered = in_buckets(asked).mapInArrow(lambda it: _answered(it, bits), _PACKED)
     lists = in_buckets(answered).mapInArrow(lambda it: _ordered(it, threshold, len(known.value[0])), _LISTS)
     lists = C.written(spark, lists, "jaccard-lists")
@@ -601,7 +601,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, n: int = N, threshold: flo
     marked = own.join(sets.where("links > 0"), "name").select("doc_id", "content", (key == F.col("rep")).alias("first"))
     marked = C.written(spark, marked.groupBy("doc_id", "content").agg(F.first("first").alias("first"), F.count("*").alias("n")).where("n > 1 or not first"), "jaccard-gone")
     content = C.fresh(docs, "content")
-    keyed = docs.withColumn(content, F.xxhash64(C.norm(F.col("text"))))
+    keyed = docs.withColumn(content, F.xxhash64("text"))
     again = marked.where("first").select("doc_id", "content")
     left = without(keyed, marked.select("doc_id", "content"), content, broadcast_rows)
     if not again.isEmpty():
