@@ -6,24 +6,27 @@ more than others), the same after undoing obfuscation (digits and signs for
 letters, marks between letters), nearness of second-person words to hits,
 capitals, punctuation, exclamation, digits, obfuscation rates and lengths.
 
-Labels are split by a hash of the text, so that copies stay together: half
-teaches the lexicon, a quarter the trees, a quarter the isotonic calibration.
-At most ``LABELLED`` labelled rows are used, those of lowest hash (a documented
+Labelled texts are dealt out by the order of their hashes, copies as one and each
+kind by itself: half teaches the lexicon, a quarter the trees, a quarter the
+isotonic calibration (with fewer than ``DEALT`` of a kind, all teach all three).
+A text labelled both ways teaches nothing. At most ``LABELLED`` labelled rows are used, those of lowest hash (a documented
 bound for fitting the classifier); every document is scored on its whole text.
 
 Defined results: null and empty texts score like any text without words and are
 never rejected; repeated rows score alike; rows of any columns pass unchanged;
-without labels of both kinds the seed lexicon alone decides (a document is
-toxic if two of its words are seeds and at least one word in 50 is).
+with fewer than four labelled texts of either kind nothing can be fitted, and the
+seed lexicon alone decides (a document is toxic if two of its words are seeds and
+at least one word in 50 is).
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -31,6 +34,8 @@ from .gbt import Isotonic, Trees
 
 U64 = np.uint64
 LABELLED = 20_000
+#: Labelled texts of either kind that are needed to deal them out; of fewer, every step uses all.
+DEALT = 40
 THRESHOLD = 0.5
 #: Letters that make a word's beginning.
 PREFIX = 6
@@ -81,10 +86,34 @@ def _distinct(h: np.ndarray, mask: np.ndarray, offset: np.ndarray) -> np.ndarray
     return out
 
 
-_CLASS = np.zeros(256, np.uint8)  # bits: 1 upper case, 2 mark, 4 exclamation, 8 digit, 16 odd sign, 32 letter
-for _c in range(256):
-    _ch = chr(_c)
-    _CLASS[_c] = 33 if "A" <= _ch <= "Z" else 32 if "a" <= _ch <= "z" or _c >= 0x80 else 8 if "0" <= _ch <= "9" else 6 if _ch in "!?" else 18 if _ch in "*@#$%&^~_|<>" else 0 if _ch.isspace() or _c < 32 else 2
+_classes: np.ndarray | None = None
+
+
+def _class_table() -> np.ndarray:
+    """Bits of every character: 1 upper case, 2 mark, 4 exclamation, 8 digit, 16 odd sign, 32 letter."""
+    global _classes
+    if _classes is None:
+        out = np.zeros(0x110000, np.uint8)
+        for c in range(0x110000):
+            ch = chr(c)
+            kind = unicodedata.category(ch)
+            out[c] = 33 if kind in ("Lu", "Lt") else 32 if kind[0] == "L" else 8 if kind[0] == "N" else 6 if ch in "!?¡¿" else 18 if ch in "*@#$%&^~_|<>" else 2 if kind[0] in "PS" else 0
+        _classes = out
+    return _classes
+
+
+def characters(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where each begins, its code point) of the characters of UTF-8."""
+    start = np.flatnonzero((b & 0xC0) != 0x80)
+    code = b[start].astype(np.int64)
+    wide = np.flatnonzero(code >= 0xC0)
+    size = 2 + (code[wide] >= 0xE0) + (code[wide] >= 0xF0)
+    x = code[wide] & np.array([0, 0, 0x1F, 0x0F, 0x07])[size]
+    for k in (1, 2, 3):
+        more = size > k
+        x[more] = (x[more] << 6) | (b[start[wide[more]] + k] & 0x3F)
+    code[wide] = x
+    return start, code
 
 
 def features(raw: pa.Array, norm: pa.Array, opened: pa.Array, lex: Lexicon) -> np.ndarray:
@@ -120,9 +149,10 @@ def features(raw: pa.Array, norm: pa.Array, opened: pa.Array, lex: Lexicon) -> n
     while at < len(norm):
         to = max(at + 1, int(np.searchsorted(off, off[at] + C.CHUNK_BYTES, "right")) - 1)
         o = off[at : to + 1] - off[at]
-        b = data[off[at] : off[to]]
+        start, b = characters(data[off[at] : off[to]])
+        o = np.searchsorted(start, o)
         size = np.maximum(np.diff(o), 1)
-        c = _CLASS[b]
+        c = _class_table()[b]
         letters = np.maximum(_sums(c & 32 != 0, o), 1)
         inside = np.zeros(len(b), bool)
         twice = np.zeros(len(b), bool)
@@ -161,15 +191,21 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, labelled: int
     # a document labelled both ways teaches nothing
     known = known.groupBy("id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most").drop("most")
     known = known.orderBy(F.xxhash64("id"), "id").limit(labelled)
-    own = docs.join(F.broadcast(known), docs.doc_id == known.id).where("text is not null").select("text", "toxic")
-    own = _with_texts(own, ("norm", "opened")).where("norm <> ''").withColumn("fold", F.pmod(F.xxhash64("norm"), F.lit(4)).cast("int"))
-    own = C.written(spark, own.dropDuplicates(["norm"]), "toxic-labelled")
-    size = {r.toxic: r.n for r in own.where("fold < 2").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    if len(size) < 2:
+    thin = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where("text is not null")
+    own = thin.join(F.broadcast(known), F.col("doc") == F.col("id")).select("text", "toxic")
+    own = own.withColumn("norm", C.norm(F.col("text"))).groupBy("norm").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("norm <> '' and toxic = most")
+    place = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("norm"), "norm"))
+    own = own.withColumn("opened", undone(F.col("text"))).withColumn("fold", (3 - (place - 1) % 4).cast("int")).drop("most")
+    own = C.written(spark, own, "toxic-labelled")
+    every = {r.toxic: (r.n, r.m) for r in own.groupBy("toxic").agg(F.count_if(F.col("fold") < 2).alias("n"), F.count("*").alias("m")).collect()}
+    if len(every) < 2 or min(m for _, m in every.values()) < 4:
         return Model(Lexicon([], []))
+    all_ = min(m for _, m in every.values()) < DEALT
+    size = {k: m if all_ else n for k, (n, m) in every.items()}
+    first, rest = (own, own) if all_ else (own.where("fold < 2"), own.where("fold >= 2"))
 
     def telling(words, least: int, bar: float) -> list[str]:
-        seen = own.where("fold < 2").select("toxic", F.explode(F.array_distinct(words)).alias("word")).groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
+        seen = first.select("toxic", F.explode(F.array_distinct(words)).alias("word")).groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
         odds = F.log((F.col("t") + 0.5) / (size[1] + 1.0)) - F.log((F.col("c") + 0.5) / (size[0] + 1.0))
         return [r.word for r in seen.where(F.col("t") >= least).where(odds > bar).select("word").collect()]
 
@@ -185,16 +221,12 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, labelled: int
             flat = pa.array(x.astype(np.float32).ravel())
             yield pa.RecordBatch.from_arrays([b.column("fold"), b.column("toxic"), pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, len(NAMES), dtype=np.int32)), flat)], names=["fold", "toxic", "x"])
 
-    got = own.where("fold >= 2").select("fold", "toxic", "text", "norm", "opened").mapInArrow(rows, "fold int, toxic int, x array<float>").toArrow()
+    got = rest.select("fold", "toxic", "text", "norm", "opened").mapInArrow(rows, "fold int, toxic int, x array<float>").toArrow()
     fold, y = got["fold"].to_numpy(), got["toxic"].to_numpy().astype(np.float64)
-    if not len(fold):
-        return Model(lex)
     x = np.array(got["x"].to_pylist(), np.float64)
     order = np.lexsort((*x.T[::-1], y, fold))  # rows arrive in any order
     fold, y, x = fold[order], y[order], x[order]
-    a, b = fold == 2, fold == 3
-    if any(len(set(y[m])) < 2 for m in (a, b)):
-        return Model(lex)
+    a, b = (fold >= 0, fold >= 0) if all_ else (fold == 2, fold == 3)
     trees = Trees().fit(x[a], y[a])
     return Model(lex, trees, Isotonic().fit(trees.logits(x[b]), y[b]))
 
