@@ -8,7 +8,9 @@
    number of survivors: a fuller bitmap lets more documents through to step 3
    and never loses one.
 3. Only documents that pass the bitmap have their whole content hashed (SHA-256)
-   and are grouped by (length, hash). The text itself is never shuffled.
+   and are grouped by (length, hash). The text itself is never shuffled. Copies
+   are counted by document, then by group, and joined back; a hot group is split
+   by adaptive execution, and no window or list ever holds it.
 
 Defined results: a row per redundant copy, naming the copy that stays, which is
 the one of lowest ``doc_id`` (nulls first). Null texts are not copies of
@@ -18,7 +20,7 @@ first occurrence, so that ``doc_id`` may equal ``duplicate_of``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -48,10 +50,17 @@ def duplicates(spark: SparkSession, docs: DataFrame, prefix: int = PREFIX, bitma
     hit = byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) != 0
     passed = keyed.withColumn("slot", _slot(bits)).withColumn("word", F.expr(f"slot div {_WORD}")).join(F.broadcast(bitmap), "word").where(hit)
     full = passed.select("doc_id", "len", F.unhex(F.sha2("text", 256)).alias("hash"))
-    same = Window.partitionBy("len", "hash")
-    ranked = full.withColumn("copies", F.count("*").over(same).cast("int")).where("copies > 1")
-    first = same.orderBy(F.col("doc_id").asc_nulls_first())
-    return ranked.withColumn("rank", F.row_number().over(first)).withColumn("duplicate_of", F.first("doc_id").over(first)).where("rank > 1").select("doc_id", "duplicate_of", "copies")
+    # counted by document first, so that no group of copies meets in one task
+    each = full.groupBy("len", "hash", "doc_id").agg(F.count("*").alias("n"))
+    rank = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")  # nulls first
+    groups = each.groupBy("len", "hash").agg(F.sum("n").cast("int").alias("copies"), F.min(rank).alias("first")).where("copies > 1")
+    both = each.join(groups, ["len", "hash"])
+    n = F.col("n") - F.when(rank == F.col("first"), 1).otherwise(0)
+    run = 1024  # repeated rows of one id are unfolded in two steps
+    out = both.select("doc_id", F.col("first.doc_id").alias("duplicate_of"), "copies", n.alias("n")).where("n > 0")
+    out = out.withColumn("part", F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {run}"))))
+    out = out.withColumn("one", F.explode(F.sequence(F.lit(1), F.least(F.lit(run), F.col("n") - F.col("part") * run))))
+    return out.select("doc_id", "duplicate_of", "copies")
 
 
 SQL = """
