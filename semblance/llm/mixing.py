@@ -15,7 +15,7 @@ so any order of execution gives the same copies.
 
 Defined results: a null source is a source of its own; an empty or null text
 counts as no characters, but is copied at its source's rate; a source without
-characters, without weight or not named in ``weights`` is not emitted; repeated
+characters, with a weight below a billionth of all weights, or not named in ``weights`` is not emitted; repeated
 rows each take their own place, equal rows being interchangeable; an empty
 table gives an empty table.
 """
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 UNIT = 10**9
-#: Hex digits of the bucket: 4096 buckets a source.
-DIGITS = 3
+#: Rows of a bucket of a source, at most on average; buckets are leading hex digits of the order.
+BUCKET_ROWS = 100_000
 #: Weights where none are given: a source's characters to this power, which lifts small sources.
 TEMPERATURE = 0.5
 SEED = 7
@@ -42,7 +42,8 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, seed:
     if weights is None:
         own = own.withColumn("weight", F.round(F.pow(F.col("size").cast("double"), F.lit(temperature)) * 1000).cast("long"))
     else:
-        pairs = own.sparkSession.createDataFrame([(k, round(v * 1e6)) for k, v in weights.items()], "named string, weight long").where("weight > 0")
+        most = max(weights.values(), default=0) or 1  # relative to the largest, so that small weights keep their digits
+        pairs = own.sparkSession.createDataFrame([(k, round(v / most * 1e12)) for k, v in weights.items()], "named string, weight long").where("weight > 0")
         own = own.join(pairs, own.source.eqNullSafe(pairs.named)).drop("named")
     every = Window.partitionBy()  # a row a source
     own = own.withColumn("total", F.sum("size").over(every)).withColumn("weights", F.sum("weight").over(every))
@@ -60,7 +61,9 @@ def copies(docs: DataFrame, weights: dict[str | None, float] | None = None, seed
         return F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null"))
 
     placed = docs.withColumn(source, named("source")).withColumn(order, F.md5(F.concat(F.lit(f"{seed}/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-    placed = placed.withColumn(bucket, F.substring(order, 1, DIGITS))
+    rows = docs.count()
+    digits = next(d for d in range(1, 32) if rows <= BUCKET_ROWS * 16**d)
+    placed = placed.withColumn(bucket, F.substring(order, 1, digits))
     sizes = placed.groupBy(source, bucket).agg(F.count("*").alias("n"))
     before = Window.partitionBy(source).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
@@ -81,11 +84,11 @@ def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, seed:
 
 
 SQL = f"""
-WITH d AS (SELECT doc_id, source, md5(concat('{SEED}/', coalesce(doc_id::VARCHAR, ''))) AS o, length(coalesce(text, '')) AS size FROM documents),
-s AS (SELECT source, sum(size)::HUGEINT AS size, round(pow(sum(size)::DOUBLE, {TEMPERATURE}) * 1000)::HUGEINT AS weight FROM d GROUP BY source HAVING sum(size) > 0),
-r AS (SELECT source, ((weight * {UNIT} // (SELECT sum(weight) FROM s)::HUGEINT) * (SELECT sum(size) FROM s)::HUGEINT // size)::HUGEINT AS rate,
-  ((('0x' || substr(md5(concat('{SEED}:', source)), 1, 8))::UBIGINT::HUGEINT * {UNIT}) // 4294967296)::HUGEINT AS start FROM s),
-k AS (SELECT doc_id, source, start, rate, row_number() OVER (PARTITION BY source ORDER BY o)::HUGEINT AS n FROM d JOIN r USING (source)),
+WITH d AS (SELECT doc_id, source, md5(concat('{SEED}/', coalesce(doc_id::VARCHAR, ''))) AS o, coalesce('=' || source, 'null') AS named, length(coalesce(text, '')) AS size FROM documents),
+s AS (SELECT source, named, sum(size)::HUGEINT AS size, round(pow(sum(size)::DOUBLE, {TEMPERATURE}) * 1000)::HUGEINT AS weight FROM d GROUP BY source, named HAVING sum(size) > 0),
+r AS (SELECT named, ((weight * {UNIT} // (SELECT sum(weight) FROM s)::HUGEINT) * (SELECT sum(size) FROM s)::HUGEINT // size)::HUGEINT AS rate,
+  ((('0x' || substr(md5(concat('{SEED}:', coalesce(source, chr(0)))), 1, 8))::UBIGINT::HUGEINT * {UNIT}) // 4294967296)::HUGEINT AS start FROM s),
+k AS (SELECT doc_id, source, start, rate, row_number() OVER (PARTITION BY source ORDER BY o)::HUGEINT AS n FROM d JOIN r USING (named)),
 c AS (SELECT doc_id, source, ((start + n * rate) // {UNIT} - (start + (n - 1) * rate) // {UNIT})::INT AS copies FROM k)
 SELECT doc_id, source, unnest(range(1, copies + 1))::INT AS copy FROM c WHERE copies > 0
 """
