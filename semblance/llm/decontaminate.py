@@ -6,10 +6,16 @@ holds. Documents are partitioned by their number of distinct shingles into
 classes ``2^c <= n < 2^(c+1)``. In each class one permutation is hashed into
 bins whose number follows the class size, so that the signature of a long
 document grows with it and a shared shingle is the minimum of its bin on both
-sides with a probability that doesn't fall with length. The number of bins is
-chosen from the smallest overlap that any item must reach, such that a pair at
-the threshold is missed with probability ``1 - recall`` at most. Every
-candidate is verified by exact shingle containment on the words themselves.
+sides with a probability that doesn't fall with length. Items are classed, too, by
+the overlap they must reach (powers of two): the number of bins is chosen for the
+least overlap of the class, such that a pair at the threshold is missed with
+probability ``1 - recall`` at most. Every candidate is verified by exact shingle
+containment on the words themselves.
+
+Up to ``BROADCAST_BYTES`` of items are sent to every task, and documents are read
+once. Beyond, signatures meet in a join; what a document sends is first held
+against a bitmap of the items' shingles, of a fixed size, so that only shingles
+that some item may have are shuffled. A full bitmap costs work, never a pair.
 
 Defined results: null and empty texts hold no shingles and match nothing; an
 item of ``1 <= k < n`` words is one shingle of ``k`` words; items without words
@@ -35,6 +41,9 @@ N, THRESHOLD, RECALL = 5, 0.5, 0.9999
 #: Items up to so many bytes of text are sent to every executor; beyond, signatures are joined by shuffle.
 BROADCAST_BYTES = 32 << 20
 PAIRS = "doc_id long, item_id long, shared int, item_shingles int, containment double"
+#: Bits of the bitmap of the items' shingles: 16 MB.
+BITMAP_BITS = 27
+_WORD = 1 << 15  # bits in one bitmap of Spark's bitmap functions
 
 
 def extra_bits(overlap: int, recall: float) -> int:
@@ -61,12 +70,17 @@ def bins_of(size: int, more: int) -> int:
     return max(0, size.bit_length() + more)
 
 
+def overlap_class(shingles: int, threshold: float) -> int:
+    """log2 of the overlap that an item of so many shingles must reach, rounded down."""
+    return max(1, math.ceil(threshold * shingles - 1e-9)).bit_length() - 1
+
+
 class Items:
     """Signatures of the items in every size class, and their exact shingles."""
 
     def __init__(self, rows: list[tuple[int, str]], n: int, threshold: float, recall: float):
         self.n, self.threshold, self.ids, self.sets, self.tables = n, threshold, [], [], {}
-        by_k: dict[int, list[tuple[int, np.ndarray]]] = {}
+        by_k: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
         for item_id, text in rows:
             words = text.split()
             if not words:
@@ -75,11 +89,12 @@ class Items:
             self.ids.append(item_id)
             self.sets.append({tuple(words[i : i + k]) for i in range(len(words) - k + 1)})
             w = C.hash_words(words)
-            by_k.setdefault(k, []).append((len(self.ids) - 1, np.unique(C.shingles(w, np.array([0, len(w)]), k)[0])))
+            u = np.unique(C.shingles(w, np.array([0, len(w)]), k)[0])
+            by_k.setdefault((k, overlap_class(len(u), threshold)), []).append((len(self.ids) - 1, u))
         self.by_k = by_k
-        self.more = {k: extra_bits(min(math.ceil(threshold * len(u)) for _, u in own), recall) for k, own in by_k.items()}
+        self.more = {x: extra_bits(1 << x[1], recall) for x in by_k}
 
-    def table(self, k: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def table(self, k: tuple[int, int], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if (k, bits) not in self.tables:
             pairs = [(minima(u, bits), i) for i, u in self.by_k[k]]
             h = np.concatenate([m for m, _ in pairs])
@@ -90,7 +105,7 @@ class Items:
             self.tables[k, bits] = h[order], who[order], seen
         return self.tables[k, bits]
 
-    def candidates(self, k: int, u: np.ndarray) -> set[int]:
+    def candidates(self, k: tuple[int, int], u: np.ndarray) -> set[int]:
         bits = bins_of(len(u), self.more[k])
         h, who, seen = self.table(k, bits)
         sig = minima(u, bits)
@@ -115,11 +130,15 @@ class Items:
         """(row, matches) of the rows of normalised texts that match an item."""
         for first, last, w in C.word_chunks(col):
             found: dict[int, set[int]] = {}
-            for k in self.by_k:
+            for k in sorted({k for k, _ in self.by_k}):
                 s, o = C.shingles(w.hash, w.offset, k, short=False)
+                own = [x for x in self.by_k if x[0] == k]
                 for d in range(last - first):
-                    if o[d + 1] > o[d] and (x := self.candidates(k, np.unique(s[o[d] : o[d + 1]]))):
-                        found.setdefault(first + d, set()).update(x)
+                    if o[d + 1] > o[d]:
+                        u = np.unique(s[o[d] : o[d + 1]])
+                        for x in own:
+                            if got := self.candidates(x, u):
+                                found.setdefault(first + d, set()).update(got)
             for row in sorted(found):
                 if m := self.verified(col[row].as_py(), found[row]):
                     yield row, m
@@ -179,42 +198,53 @@ def clean(spark: SparkSession, docs: DataFrame, bench: DataFrame, n: int = N, th
     return docs.withColumn(extra, C.norm(F.col("text"))).mapInArrow(kept, docs.schema)
 
 
-def _by_shuffle(thin: DataFrame, items: DataFrame, n: int, threshold: float, recall: float) -> DataFrame:
-    """The same search where the items are too many to send around: both
-    sides' signatures meet in a join on (shingle length, bins, hash)."""
-    # one overlap for all items, the least possible, so that no pass over them is needed to choose the bins
-    more = {k: extra_bits(1 if k < n else math.ceil(threshold), recall) for k in range(1, n + 1)}
+def _by_shuffle(thin: DataFrame, items: DataFrame, n: int, threshold: float, recall: float, bitmap_bits: int = BITMAP_BITS) -> DataFrame:
+    """The same search where the items are too many to send around: documents'
+    signatures meet the items' shingles in a join on (length, class, hash)."""
+    spark = thin.sparkSession
     thin = thin.withColumn("content", F.xxhash64("norm"))
     # ids may be null or repeat, so an item is known by its id and words
     items = items.withColumn("item", F.xxhash64("item_id", "norm"))
 
-    def of_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, content = b.column("doc_id"), b.column("content")
-            for first, last, w in C.word_chunks(b.column("norm")):
-                for k in range(1, n + 1):
-                    s, o = C.shingles(w.hash, w.offset, k, short=False)
-                    sigs = [(d, bins_of(len(u), more[k]), minima(u, bins_of(len(u), more[k]))) for d in range(last - first) if len(u := np.unique(s[o[d] : o[d + 1]]))]
-                    if sigs:
-                        who = np.concatenate([np.full(len(m), first + d) for d, _, m in sigs])
-                        yield pa.RecordBatch.from_arrays(
-                            [ids.take(pa.array(who)), content.take(pa.array(who)), pa.array(np.full(len(who), k, np.int32)), pa.array(np.concatenate([np.full(len(m), x, np.int32) for _, x, m in sigs])), pa.array(np.concatenate([m for *_, m in sigs]).view(np.int64))],
-                            names=["doc_id", "content", "k", "bits", "h"],
-                        )
-
     def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for item, text in zip(b.column("item").to_pylist(), b.column("norm").to_pylist(), strict=True):
                 w = C.hash_words(text.split())
                 k = min(n, len(w))
                 u = np.unique(C.shingles(w, np.array([0, len(w)]), k)[0])
-                for bits in range(0, 60):
-                    m = minima(u, bits)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), item)), pa.array(np.full(len(m), k, np.int32)), pa.array(np.full(len(m), bits, np.int32)), pa.array(m.view(np.int64))], names=["item", "k", "bits", "h"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), item)), pa.array(np.full(len(u), k, np.int32)), pa.array(np.full(len(u), overlap_class(len(u), threshold), np.int32)), pa.array(u.view(np.int64))], names=["item", "k", "class", "h"])
+
+    right = C.written(spark, items.select("item", "norm").mapInArrow(of_items, "item long, k int, class int, h long"), "leak-items")
+    # at most n lengths times the classes of overlap, which grow with the logarithm of an item
+    more = {(r["k"], r["class"]): extra_bits(1 << r["class"], recall) for r in right.select("k", "class").distinct().collect()}
+    slot = F.shiftrightunsigned("h", 64 - bitmap_bits)
+    words = right.select(slot.alias("slot")).groupBy(F.expr(f"slot div {_WORD}").alias("word")).agg(F.bitmap_construct_agg(F.col("slot") % _WORD).alias("bitmap")).collect()
+    some = np.zeros((1 << bitmap_bits) // 8, np.uint8)
+    for r in words:  # the bitmap's size, whatever the items
+        own = np.frombuffer(r.bitmap, np.uint8)
+        at = r.word * (_WORD // 8)
+        some[at : at + len(own)] = own[: len(some) - at]
+    known = spark.sparkContext.broadcast(some)
 
-    left = thin.mapInArrow(of_docs, "doc_id long, content long, k int, bits int, h long")
-    right = items.select("item", "norm").mapInArrow(of_items, "item long, k int, bits int, h long")
-    found = left.join(right, ["k", "bits", "h"]).select("doc_id", "content", "item").distinct()
+    def of_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = known.value
+        for b in batches:
+            ids, content = b.column("doc_id"), b.column("content")
+            for first, last, w in C.word_chunks(b.column("norm")):
+                for k in sorted({k for k, _ in more}):
+                    s, o = C.shingles(w.hash, w.offset, k, short=False)
+                    for d in range(last - first):
+                        u = np.unique(s[o[d] : o[d + 1]])
+                        for c in [c for x, c in more if x == k] if len(u) else ():
+                            m = minima(u, bins_of(len(u), more[k, c]))
+                            at = (m >> U64(64 - bitmap_bits)).astype(np.int64)
+                            m = m[(seen[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+                            if len(m):
+                                row = pa.array(np.full(len(m), first + d))
+                                yield pa.RecordBatch.from_arrays([ids.take(row), content.take(row), pa.array(np.full(len(m), k, np.int32)), pa.array(np.full(len(m), c, np.int32)), pa.array(m.view(np.int64))], names=["doc_id", "content", "k", "class", "h"])
+
+    left = thin.mapInArrow(of_docs, "doc_id long, content long, k int, class int, h long")
+    found = left.join(right, ["k", "class", "h"]).select("doc_id", "content", "item").distinct()
     found = found.join(items, "item").withColumnRenamed("norm", "item_norm").withColumnRenamed("doc_id", "_doc").withColumnRenamed("content", "_content")
     both = thin.join(found, thin.doc_id.eqNullSafe(found["_doc"]) & (thin.content == found["_content"])).select("doc_id", "content", "norm", "item_id", "item_norm")
 
