@@ -10,9 +10,10 @@ holds a weight for every class, member or branch.
 1. Word counts over all documents. The most frequent words get a slot of their
    own, the others are leaves of a tree below one of ``RARE`` hashed slots; a
    class is a run of slots by frequency. Leaves, depth and rows follow the number
-   of distinct words. The counts give the unigram logits that the features
-   correct, so every word has its own. A leaf of each tree is for words that the
-   corpus doesn't have.
+   of distinct words, up to ``LEAVES``. The counts give the unigram logits that the
+   features correct, so every such word has its own. A leaf of each tree stands for
+   all words beyond, by the sum of their counts, evenly spread over them and the
+   words that the corpus doesn't have.
 2. Documents are written once as ranks of words, four bytes a word.
 3. Gradient updates, distributed: the corpus is cut into ``ROUNDS`` parts by a
    hash of the content. In a round every task starts from the same weights,
@@ -23,8 +24,8 @@ holds a weight for every class, member or branch.
 4. Documents are scored in numpy batches, gathering only rows their features
    name.
 
-Model and broadcast follow the distinct words (about 30 bytes each, and ``2^bits``
-rows of three tables); what is counted, trained on and shuffled follows the corpus.
+Model and broadcast follow the distinct words up to the bound (about 30 bytes each,
+and ``2^bits`` rows of three tables); what is counted, trained on and shuffled follows the corpus.
 
 Defined results: a row for each input row. Null, empty and wordless texts have 0
 words and null scores; repeated rows score alike; other columns are ignored; an
@@ -49,6 +50,8 @@ U64 = np.uint64
 CLASSES, MEMBERS, RARE, BITS, ROUNDS = 32, 32, 128, 15, 4
 #: Branches of a node below a rare slot.
 FAN = 32
+#: Words with a leaf of their own, at most; about 30 bytes of each go to every executor (126 MB).
+LEAVES = 1 << 22
 RATE, MINI, EPS = 0.12, 2048, 1e-3
 #: Words back from the predicted one: n-grams of one and two, and a skip over one.
 FEATURES = ((1,), (1, 2), (2,))
@@ -67,8 +70,12 @@ class Shape:
 class Model:
     """Vocabulary, unigram logits and the three weight tables."""
 
-    def __init__(self, shape: Shape, h: np.ndarray, n: np.ndarray):
-        """``h``, ``n``: hashes and counts of all words, from the most frequent on."""
+    def __init__(self, shape: Shape, h: np.ndarray, n: np.ndarray, beyond: tuple[np.ndarray, np.ndarray] | None = None):
+        """``h``, ``n``: hashes and counts of words, from the most frequent on;
+        ``beyond``: by rare slot, how many more words there are and the sum of their counts."""
+        more, more_n = beyond if beyond else (np.zeros(shape.rare),) * 2
+        #: What a word of the shared leaf of each rare slot loses to the others of it.
+        self.share = np.log(more + 1).astype(np.float32)
         self.shape, self.words = shape, len(h)
         self.bits = max(shape.bits, (len(h) // FAN).bit_length())  # a weight for each word, at least
         known, rare = h[: shape.known], h[shape.known :]
@@ -90,7 +97,7 @@ class Model:
         self.leaf = np.concatenate([np.zeros(len(known)), leaf, np.zeros(shape.rare)]).astype(np.uint32)
         self.start = len(self.slot)
         below = np.zeros((shape.rare, int(sizes.max()) + 1))
-        below[:, 0] = 0.5
+        below[:, 0] = 0.5 + more_n
         below[slot, leaf] = n[shape.known :]
         count = np.full(shape.slots, 0.5)
         count[: len(known)] += n[: shape.known]
@@ -189,6 +196,8 @@ class Model:
             own = z[np.arange(len(pos)), truth]
             np.exp(z, out=z)
             out[pos] += own - np.log(_row_sums(z))
+        shared = np.flatnonzero((self.leaf[target] == 0) & (self.slot[target] >= self.shape.known))
+        out[shared] -= self.share[self.slot[target[shared]] - self.shape.known]
         return out
 
 
@@ -257,13 +266,20 @@ def encoded(docs: DataFrame, known: Broadcast, rounds: int) -> DataFrame:
     return out.withColumn("part", F.pmod(F.xxhash64("ranks"), F.lit(rounds)).cast("int"))
 
 
-def train(spark: SparkSession, docs: DataFrame, shape: Shape | None = None) -> tuple[Model, DataFrame]:
+def train(spark: SparkSession, docs: DataFrame, shape: Shape | None = None, leaves: int = LEAVES) -> tuple[Model, DataFrame]:
     """The model of ``docs``, and ``docs`` encoded."""
     shape = shape or Shape()
     counts = C.written(spark, _counts(docs), "lm-counts")
-    counts = counts.orderBy(F.desc("n"), "word").toArrow()
-    words = counts["word"].to_numpy().view(U64)
-    model = Model(shape, words, counts["n"].to_numpy())
+    most = counts.orderBy(F.desc("n"), "word").limit(leaves).toArrow()
+    words, n = most["word"].to_numpy().view(U64), most["n"].to_numpy()
+    # the rest by rare slot: all words of the slot without those that have a leaf
+    slot = F.expr(f"pmod(pmod(word, {shape.rare}) + {(1 << 64) % shape.rare} * cast(word < 0 as int), {shape.rare})")
+    beyond = np.zeros((2, shape.rare))
+    for r in counts.groupBy(slot.cast("int").alias("slot")).agg(F.count("*").alias("k"), F.sum("n").alias("n")).collect():
+        beyond[:, r.slot] = r.k, r.n
+    own = (words % U64(shape.rare)).astype(np.int64)
+    beyond -= np.stack([np.bincount(own, minlength=shape.rare), np.bincount(own, n, shape.rare)])
+    model = Model(shape, words, n, (beyond[0], beyond[1]))
     known = spark.sparkContext.broadcast(model.without(*WEIGHTS))
     own = C.written(spark, encoded(docs, known, shape.rounds), "lm-encoded")
     known.destroy()
@@ -295,7 +311,8 @@ def _round(spark: SparkSession, own: DataFrame, model: Model) -> None:
                 hit = np.flatnonzero(n)
                 if len(hit):
                     at = hit + k * BLOCK
-                    change = (new.tables[t][at] - old.tables[t][at]).astype(np.float16)
+                    # half precision, kept within its range; test_lm_words.py compares it with single
+                    change = np.clip(new.tables[t][at] - old.tables[t][at], -60000, 60000).astype(np.float16)
                     out.append((t, k, TaskContext.get().partitionId(), hit.astype(np.uint16).tobytes(), n[hit].tobytes(), (new.acc[t][at] - old.acc[t][at]).tobytes(), change.tobytes()))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 4), strict=True)], names=["t", "block", "task", "hit", "n", "acc", "change"])
@@ -344,13 +361,13 @@ def score_encoded(spark: SparkSession, own: DataFrame, model: Model) -> DataFram
             n = np.diff(offset)
             each = total / np.maximum(n, 1)
             none = n == 0
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(np.round(total, 3), mask=none), pa.array(np.round(each, 3), mask=none), pa.array(np.round(np.exp2(each), 2), mask=none)], names=["doc_id", "words", "bits", "bits_per_word", "perplexity"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.round(each, 3), mask=none), pa.array(np.round(np.exp2(each), 2), mask=none), pa.array(np.round(total, 3), mask=none), pa.array(n)], names=["doc_id", "bits_per_word", "perplexity", "bits", "words"])
 
-    return own.select("doc_id", "ranks").mapInArrow(score, "doc_id long, words long, bits double, bits_per_word double, perplexity double")
+    return own.select("doc_id", "ranks").mapInArrow(score, "doc_id long, bits_per_word double, perplexity double, bits double, words long")
 
 
 def scored(spark: SparkSession, docs: DataFrame, corpus: DataFrame | None = None, shape: Shape | None = None) -> DataFrame:
-    """(doc_id, words, bits, bits_per_word, perplexity) of ``docs`` under the
+    """(doc_id, bits_per_word, perplexity, bits, words) of ``docs`` under the
     model of ``corpus``, by default of ``docs`` themselves."""
     model, own = train(spark, docs if corpus is None else corpus, shape)
     if corpus is not None:
