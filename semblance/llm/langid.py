@@ -10,7 +10,7 @@ documents is one count matrix, and all machines are one product with it.
 
 Machines (squared hinge, L2) are fitted on the driver from about ``LABELLED``
 documents with a given ``lang``, evenly by language, chosen by a hash of id and
-text: a documented bound for fitting. All rows are predicted, on whole texts.
+text: a documented bound for fitting, as is ``LANGUAGES``. All rows are predicted, on whole texts.
 
 Defined results: a row for each input row; texts that are null, empty or without
 words have null family, language and margin; rows with a null ``lang`` teach
@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 BITS, LABELLED = 12, 4096
+#: Languages a model tells apart, at most: the most frequent values of ``lang``.
+LANGUAGES = 256
 #: Documents in one count matrix.
 ROWS = 512
 _FAMILIES = {
@@ -136,14 +138,14 @@ class Model:
 
 
 def train(spark: SparkSession, docs: DataFrame, labelled: int = LABELLED, families: dict[str, str] | None = None, bits: int = BITS) -> Model | None:
-    size = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect() if r["lang"] is not None}
+    size = {r["lang"]: r["count"] for r in docs.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     if not size:
         return None
     model = Model(list(size), FAMILIES if families is None else families)
     each = labelled / len(size)
     share = F.create_map(*(F.lit(v) for code in model.langs for v in (code, min(1.0, each / size[code]))))
     code = F.create_map(*(F.lit(v) for i, c in enumerate(model.langs) for v in (c, i)))
-    own = docs.where(F.col("lang").isNotNull() & (F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)))
+    own = docs.where(F.col("lang").isNotNull() & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)))
     own = own.select(code[F.col("lang")].alias("code"), C.norm(F.col("text")).alias("norm")).where("norm <> ''")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
