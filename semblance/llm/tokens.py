@@ -3,9 +3,13 @@
 Every document's ids become an array of little-endian 16-bit numbers (32 where
 the vocabulary needs it), compressed on its own with a zstandard dictionary
 trained on such arrays. A document is a row: its frame, the shard it lies in,
-and where it begins there, so that a short document is read by one slice and
-one decompression. The dictionary's hash stands with every row, and its bytes
-on the row at offset 0 of each shard, so each shard can be read alone.
+and where it begins there. The dictionary's hash stands with every row, and its
+bytes on the row at offset 0 of each shard, so each shard can be read alone.
+
+:func:`write_shards` puts the frames into files, a file a shard, headed by the
+dictionary, and returns the index of offsets: a short document is read by one
+slice and one decompression (:func:`read_frame`). Files are written by the tasks
+and named by attempt, so a lost executor leaves a file that no index row names.
 
 Encoding splits all texts of a batch at once, on bytes, by the tokenizer's own
 pattern, and asks the tokenizer only for pieces not met before by the worker;
@@ -52,6 +56,7 @@ LONG = 64
 L, N, S, O, X = range(5)  # letter, number, space, other, unknown to this Python
 _classes: np.ndarray | None = None
 _encoders: dict[str, Encoder] = {}
+MAGIC = b"IDS1"
 
 
 def _class_table() -> np.ndarray:
@@ -117,11 +122,10 @@ def pieces(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Encoder:
     """Ids of batches of texts, the same as the tokenizer's own."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, raw: bytes):
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(i) for a, i in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(i) for a, i in map(bytes.split, raw.splitlines())}
         self.own = tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.kind = np.dtype("<u2" if max(ranks.values()) < 1 << 16 else "<u4")
         self.piece = self.own._core_bpe.encode_single_piece
@@ -191,15 +195,21 @@ class Encoder:
         return out, edges
 
 
-def encoder(path: str) -> Encoder:
+def vocabulary(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def encoder(path: str, raw: bytes | None = None) -> Encoder:
+    """``raw``: the file's bytes, for executors that don't have the file."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, vocabulary(path) if raw is None else raw)
     return _encoders[path]
 
 
-def id_arrays(col: pa.Array, path: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def id_arrays(col: pa.Array, path: str, raw: bytes | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first, last, ids, offsets) of runs of rows."""
-    enc = encoder(path)
+    enc = encoder(path, raw)
     off, data = C.string_buffers(col)
     n, i = len(off) - 1, 0
     while i < n:
@@ -217,9 +227,11 @@ def dictionary(docs: DataFrame, path: str = VOCABULARY, dict_bytes: int = DICT_B
     own = docs.select(F.coalesce("text", F.lit("")).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))
     own = own.withColumn("h", F.xxhash64("text")).dropDuplicates(["h"]).select("text")  # of many copies one
 
+    raw = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
+
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, _, ids, at in id_arrays(b.column(0), path):
+            for _, _, ids, at in id_arrays(b.column(0), path, raw.value):
                 yield pa.RecordBatch.from_arrays([pa.array([ids[a:z].tobytes() for a, z in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["ids"])
 
     samples = sorted(x for x in own.mapInArrow(arrays, "ids binary").toArrow()["ids"].to_pylist() if x)
@@ -232,6 +244,7 @@ def dictionary(docs: DataFrame, path: str = VOCABULARY, dict_bytes: int = DICT_B
 def binary(spark: SparkSession, docs: DataFrame, path: str = VOCABULARY, dict_bytes: int = DICT_BYTES, sample: int = SAMPLE, level: int = LEVEL, shard_bytes: int = SHARD) -> DataFrame:
     """(doc_id, shard, offset, length, n_tokens, dict_hash, dictionary, frame)."""
     shared = spark.sparkContext.broadcast(dictionary(docs, path, dict_bytes, sample))
+    raw = spark.sparkContext.broadcast(vocabulary(path))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -242,7 +255,7 @@ def binary(spark: SparkSession, docs: DataFrame, path: str = VOCABULARY, dict_by
         press = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(known) if known else None).compress
         shard, place = TaskContext.get().partitionId() << 32, 0
         for b in batches:
-            for first, last, ids, at in id_arrays(b.column("text"), path):
+            for first, last, ids, at in id_arrays(b.column("text"), path, raw.value):
                 frames = [press(ids[a:z].tobytes()) for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 shards, places, heads = [], [], []
                 for f in frames:
@@ -261,6 +274,63 @@ def binary(spark: SparkSession, docs: DataFrame, path: str = VOCABULARY, dict_by
     return thin.mapInArrow(rows, "doc_id long, shard long, offset long, length int, n_tokens int, dict_hash string, dictionary binary, frame binary")
 
 
+def write_shards(spark: SparkSession, rows: DataFrame, folder: str) -> DataFrame:
+    """The frames of :func:`binary` as files in ``folder`` (a URI or an absolute
+    path that all executors share), and their stored index: (doc_id, file,
+    offset, length, n_tokens, dict_hash), the offset being that in the file."""
+    from pyarrow import fs
+
+    where, root = fs.FileSystem.from_uri(folder)
+    where.create_dir(root)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        where, root = fs.FileSystem.from_uri(folder)
+        name, out, head, now = "", None, 0, None
+        for b in batches:
+            files, places = [], []
+            for shard, place, known, frame in zip(*(b.column(c).to_pylist() for c in ("shard", "offset", "dictionary", "frame")), strict=True):
+                if shard != now:
+                    if out:
+                        out.close()
+                    now, name = shard, f"shard-{shard:016x}-{TaskContext.get().taskAttemptId()}.bin"
+                    out = where.open_output_stream(f"{root}/{name}", compression=None)
+                    head = MAGIC + len(known or b"").to_bytes(4, "little") + (known or b"")
+                    out.write(head)
+                    head = len(head)
+                out.write(frame)
+                files.append(name)
+                places.append(head + place)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(files, pa.string()), pa.array(places, pa.int64()), *(b.column(c) for c in ("length", "n_tokens", "dict_hash"))], names=["doc_id", "file", "offset", "length", "n_tokens", "dict_hash"])
+        if out:
+            out.close()
+
+    index = rows.mapInArrow(write, "doc_id long, file string, offset long, length int, n_tokens int, dict_hash string")
+    index.write.parquet(f"{folder}/index")
+    return spark.read.parquet(f"{folder}/index")
+
+
+def read_head(folder: str, file: str) -> bytes | None:
+    """The dictionary of a shard file."""
+    from pyarrow import fs
+
+    where, root = fs.FileSystem.from_uri(folder)
+    with where.open_input_file(f"{root}/{file}") as f:
+        if f.read(4) != MAGIC:
+            raise ValueError(f"{file} is not a shard")
+        return f.read(int.from_bytes(f.read(4), "little")) or None
+
+
+def read_frame(folder: str, file: str, offset: int, length: int) -> bytes:
+    """One document's frame, by one slice."""
+    from pyarrow import fs
+
+    where, root = fs.FileSystem.from_uri(folder)
+    with where.open_input_file(f"{root}/{file}") as f:
+        return f.read_at(length, offset)
+
+
 def ids_of(frame: bytes, known: bytes | None, path: str = VOCABULARY) -> np.ndarray:
     """The ids of one frame."""
     import zstandard
