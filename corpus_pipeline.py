@@ -7,8 +7,9 @@ rest is written as compressed token ids. Each stage reads what the one before
 kept, as Parquet in the shared folder.
 
 The first and the last stage train models and compress, which SQL can't
-express: ``tests/llm/test_pipeline.py`` holds the whole run against a
-brute-force version instead.
+express. ``tests/llm/test_pipeline.py`` holds every stage on its own input:
+toxicity against the operator's scores and the labels, the next three against
+plain Python, the last by reading every text back.
 """
 
 from __future__ import annotations
