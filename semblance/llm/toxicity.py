@@ -104,11 +104,11 @@ def _class_table() -> np.ndarray:
 
 def characters(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(where each begins, its code point) of the characters of UTF-8."""
-    start = np.flatnonzero((b & 0xC0) != 0x80)
-    code = b[start].astype(np.int64)
+    start = np.flatnonzero((b & 0xC0) != 0x80).astype(np.int32)
+    code = b[start].astype(np.int32)
     wide = np.flatnonzero(code >= 0xC0)
     size = 2 + (code[wide] >= 0xE0) + (code[wide] >= 0xF0)
-    x = code[wide] & np.array([0, 0, 0x1F, 0x0F, 0x07])[size]
+    x = code[wide] & np.array([0, 0, 0x1F, 0x0F, 0x07], np.int32)[size]
     for k in (1, 2, 3):
         more = size > k
         x[more] = (x[more] << 6) | (b[start[wide[more]] + k] & 0x3F)
@@ -147,10 +147,10 @@ def features(raw: pa.Array, norm: pa.Array, opened: pa.Array, lex: Lexicon) -> n
         x[:, 19] = np.diff(length) / np.maximum(count, 1)
     at = 0
     while at < len(norm):
-        to = max(at + 1, int(np.searchsorted(off, off[at] + C.CHUNK_BYTES, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(off, off[at] + (C.CHUNK_BYTES >> 2), "right")) - 1)
         o = off[at : to + 1] - off[at]
         start, b = characters(data[off[at] : off[to]])
-        o = np.searchsorted(start, o)
+        o = np.searchsorted(start, o.astype(np.int32))
         size = np.maximum(np.diff(o), 1)
         c = _class_table()[b]
         letters = np.maximum(_sums(c & 32 != 0, o), 1)
