@@ -9,6 +9,7 @@ object is made for a word.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -53,6 +54,21 @@ def written(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Give memory that the allocators keep back to the system: workers live on
+    after a task, beside those of the next stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from batches
+    release()
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have yet (names compare without case)."""
     have = {c.lower() for c in df.columns}

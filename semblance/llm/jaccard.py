@@ -468,7 +468,7 @@ def _read(spark: SparkSession, docs: DataFrame, n: int) -> tuple[DataFrame, Data
                 name[row], size[row] = identity(u), len(u)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("content"), pa.array(name, mask=size == 0), pa.array(size)], names=["doc_id", "content", "name", "size"])
 
-    own = thin.select("doc_id", "content", C.norm(F.col("text")).alias("norm")).mapInArrow(named, "doc_id long, content long, name long, size int")
+    own = thin.select("doc_id", "content", C.norm(F.col("text")).alias("norm")).mapInArrow(lambda it: C.tidy(named(it)), "doc_id long, content long, name long, size int")
     return thin, C.written(spark, own, "jaccard-sets")
 
 
@@ -493,7 +493,7 @@ def _frequent(texts: DataFrame, count: int, n: int, most: int) -> tuple[np.ndarr
             yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(k)], names=["gram", "k"])
 
     some = texts.where(F.pmod(F.col("content"), F.lit(1 << 20)) < int(min(1.0, share) * (1 << 20))).select(C.norm(F.col("text")))
-    total = some.mapInArrow(seen, "gram long, k long").groupBy("gram").agg(F.sum("k").alias("k"))
+    total = some.mapInArrow(lambda it: C.tidy(seen(it)), "gram long, k long").groupBy("gram").agg(F.sum("k").alias("k"))
     got = total.where(F.col("k") >= 8).orderBy(F.desc("k"), "gram").limit(most + 1).toArrow()
     gram, k = got["gram"].to_numpy().view(U64), got["k"].to_numpy()
     sampled = int(k[gram == 0].max()) if (gram == 0).any() else 0
@@ -519,9 +519,9 @@ def _search(spark: SparkSession, docs: DataFrame, n: int, threshold: float, pair
     def in_buckets(df: DataFrame) -> DataFrame:
         return df.repartitionById(1 << bits, F.col("bucket")).sortWithinPartitions("bucket")
 
-    asked = texts.select(C.norm(F.col("text"))).mapInArrow(lambda it: _asked(it, n, bits, *known.value), _PACKED)
-    answered = in_buckets(asked).mapInArrow(lambda it: _answered(it, bits), _PACKED)
-    lists = in_buckets(answered).mapInArrow(lambda it: _ordered(it, threshold, len(known.value[0])), _LISTS)
+    asked = texts.select(C.norm(F.col("text"))).mapInArrow(lambda it: C.tidy(_asked(it, n, bits, *known.value)), _PACKED)
+    answered = in_buckets(asked).mapInArrow(lambda it: C.tidy(_answered(it, bits)), _PACKED)
+    lists = in_buckets(answered).mapInArrow(lambda it: C.tidy(_ordered(it, threshold, len(known.value[0]))), _LISTS)
     lists = C.written(spark, lists, "jaccard-lists")
 
     short = lists.select(F.explode(F.slice("grams", 1, F.least("keep", "cold"))).alias("gram"), "name")
@@ -540,7 +540,7 @@ def _search(spark: SparkSession, docs: DataFrame, n: int, threshold: float, pair
     i, j = F.least("block", "other"), F.greatest("block", "other")
     each = each.withColumn("key", F.xxhash64("cell", i, j)).withColumn("side", F.when(i == j, -1).otherwise(F.col("block")))
     each = each.select("key", "cell", "side", "name", "size", "docs", "grams", "cells").repartition("key").sortWithinPartitions("key", "name")
-    found = each.mapInArrow(lambda it: _searched(_raw(it), threshold, pairs), PAIRS if pairs else LINKS)
+    found = each.mapInArrow(lambda it: C.tidy(_searched(_raw(it), threshold, pairs)), PAIRS if pairs else LINKS)
     return own, ids, C.written(spark, found, "jaccard-found")
 
 

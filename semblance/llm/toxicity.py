@@ -239,6 +239,7 @@ def scored(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: f
         for b in batches:
             p = model.value.score(features(b.column("text"), b.column("norm"), b.column("opened"), model.value.lex))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "probability", "toxic"])
+            C.release()
 
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return _with_texts(thin, ("norm", "opened")).mapInArrow(rows, "doc_id long, probability double, toxic int")
@@ -248,16 +249,16 @@ def clean(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: fl
     """The rows of ``docs`` below the threshold, with all their columns."""
     model = spark.sparkContext.broadcast(train(spark, docs, labels))
     names = docs.columns
-    text, norm, opened = (C.fresh(docs, f"toxic_{x}") for x in ("text", "norm", "opened"))
-    k = len(names)
+    norm, opened = (C.fresh(docs, f"toxic_{x}") for x in ("norm", "opened"))
+    k, text = len(names), [c.lower() for c in names].index("text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p = model.value.score(features(b.column(k), b.column(k + 1), b.column(k + 2), model.value.lex))
+            p = model.value.score(features(b.column(text), b.column(k), b.column(k + 1), model.value.lex))
             yield b.select(list(range(k))).filter(pa.array(p < threshold))
+            C.release()
 
-    full = _with_texts(docs, (norm, opened)).withColumn(text, F.coalesce("text", F.lit("")))
-    return full.select(*(f"`{c}`" for c in names), text, norm, opened).mapInArrow(rows, docs.schema)
+    return _with_texts(docs, (norm, opened)).mapInArrow(rows, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
