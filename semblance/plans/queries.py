@@ -1,10 +1,8 @@
 """The registered queries of the near-duplicate engine, with their SQL.
 
-All run over whole tables. Queries that hash use the ``md5`` profile, which SQL
-knows too. Those that search or evaluate use the whole index of 128 permutations
-in 64 bands (``FULL``); their SQL still has 16 permutations in 8 bands, and so
-finds fewer candidates. ``minhash_signature`` and ``lsh_bands`` show the first 16
-permutations (``INDEX``), which equal the SQL.
+All run over whole tables, with the whole index of 128 permutations in 64 bands.
+Those with SQL use the ``md5`` profile, which SQL knows too (``FULL``); the
+default ``blake2b`` profile has known answers in ``tests/test_engine.py``.
 """
 
 from __future__ import annotations
@@ -27,7 +25,6 @@ from . import sql as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-INDEX = LshConfig(16, 8, profile="md5")
 FULL = LshConfig(profile="md5")
 RULE = PairConfig()
 SHORT = TextConfig(adaptive_short_text=True)
@@ -199,9 +196,9 @@ def benchmark_contamination_jaccard(spark, sf):
     return lsh.jaccard_between(docs(spark, sf), bench(spark, sf), "doc_id", "item_id")
 
 
-_G = f"{_D}, {S.signatures('doc_id', 16)}"
-_BANDS = S.bands("sig", 8, 2)
-_INDEX = f"{_G}, b AS MATERIALIZED (SELECT doc_id, unnest(range(0, 8))::INT AS band, unnest({_BANDS}) AS key FROM g JOIN s USING (doc_id) WHERE len(shingles) > 0)"
+_G = f"{_D}, {S.signatures('doc_id', FULL.num_perm)}"
+_BANDS = S.bands("sig", FULL.bands, FULL.rows)
+_INDEX = f"{_G}, b AS MATERIALIZED (SELECT doc_id, unnest(range(0, {FULL.bands}))::INT AS band, unnest({_BANDS}) AS key FROM g JOIN s USING (doc_id) WHERE len(shingles) > 0)"
 _CAND = f"{_INDEX}, c AS MATERIALIZED (SELECT DISTINCT a.doc_id AS document_a, b.doc_id AS document_b FROM b a JOIN b ON a.band = b.band AND a.key = b.key AND a.doc_id < b.doc_id)"
 
 
@@ -211,12 +208,12 @@ def _signed(spark, sf, index: LshConfig = FULL):
 
 @query(f"{_G} SELECT doc_id, array_to_string(sig, ',') AS signature FROM g")
 def minhash_signature(spark, sf):
-    return _signed(spark, sf, INDEX).select("doc_id", F.array_join(F.col("signature").cast("array<string>"), ",").alias("signature"))
+    return _signed(spark, sf).select("doc_id", F.array_join(F.col("signature").cast("array<string>"), ",").alias("signature"))
 
 
 @query(f"{_INDEX} SELECT * FROM b")
 def lsh_bands(spark, sf):
-    return lsh.banded(_signed(spark, sf, INDEX), INDEX).select("doc_id", "band", F.array_join(F.col("key").cast("array<string>"), ",").alias("key"))
+    return lsh.banded(_signed(spark, sf), FULL).select("doc_id", "band", F.array_join(F.col("key").cast("array<string>"), ",").alias("key"))
 
 
 @query(f"{_CAND} SELECT * FROM c")
@@ -230,14 +227,14 @@ def lsh_verified(spark, sf):
     return lsh.verified(lsh.candidates(lsh.banded(own, FULL)), own, 0.25)
 
 
-@query(f"{_CAND} SELECT document_a, document_b, len(list_filter(range(1, 17), lambda i: x.sig[i] = y.sig[i])) / 16.0::DOUBLE AS similarity FROM c JOIN g x ON x.doc_id = document_a JOIN g y ON y.doc_id = document_b")
+@query(f"{_CAND} SELECT document_a, document_b, len(list_filter(range(1, {FULL.num_perm + 1}), lambda i: x.sig[i] = y.sig[i])) / {FULL.num_perm}::DOUBLE AS similarity FROM c JOIN g x ON x.doc_id = document_a JOIN g y ON y.doc_id = document_b")
 def minhash_similarity(spark, sf):
     own = _signed(spark, sf)
     both = lsh.with_sides(lsh.candidates(lsh.banded(own, FULL)), own, ["signature"])
     return both.select("document_a", "document_b", signature_similarity(F.col("signature_a"), F.col("signature_b")).alias("similarity"))
 
 
-@query(f"""WITH d AS ({_INDEX} SELECT * FROM b), q AS ({_B}, {S.signatures('item_id', 16)} SELECT item_id, unnest(range(0, 8))::INT AS band, unnest({_BANDS}) AS key FROM g JOIN s USING (item_id) WHERE len(shingles) > 0)
+@query(f"""WITH d AS ({_INDEX} SELECT * FROM b), q AS ({_B}, {S.signatures('item_id', FULL.num_perm)} SELECT item_id, unnest(range(0, {FULL.bands}))::INT AS band, unnest({_BANDS}) AS key FROM g JOIN s USING (item_id) WHERE len(shingles) > 0)
 SELECT DISTINCT item_id, doc_id FROM q JOIN d USING (band, key)""")
 def lsh_query(spark, sf):
     return lsh.query_index(lsh.banded(lsh.signed(bench(spark, sf), FULL), FULL, "item_id"), lsh.banded(_signed(spark, sf), FULL), "item_id")
@@ -245,10 +242,10 @@ def lsh_query(spark, sf):
 
 _TURNS = f"WITH {S.pairs(S.TURNS)}"
 _BOTH = "g x ON x.side_id = pair_id || ':a' JOIN g y ON y.side_id = pair_id || ':b'"
-_IS = f"len(list_filter(range(1, 9), lambda i: {S.bands('x.sig', 8, 2)}[i] = {S.bands('y.sig', 8, 2)}[i])) > 0"
+_IS = f"len(list_filter(range(1, {FULL.num_perm}, 2), lambda i: x.sig[i] = y.sig[i] AND x.sig[i + 1] = y.sig[i + 1])) > 0"
 
 
-@query(f"{_TURNS}, {S.signatures('side_id', 16)} SELECT pair_id, ({_IS})::INT AS candidate FROM sides JOIN {_BOTH}")
+@query(f"{_TURNS}, {S.signatures('side_id', FULL.num_perm)} SELECT pair_id, ({_IS})::INT AS candidate FROM sides JOIN {_BOTH}")
 def lsh_is_candidate(spark, sf):
     own = PL.pair_frame(turns(spark, sf))
     for s in "ab":
@@ -270,7 +267,7 @@ def adaptive_lsh_params(spark, sf):
 
 @query(f"""{_CAND}, j AS (SELECT {S.jaccard('x.shingles', 'y.shingles')} AS j FROM c JOIN s x ON x.doc_id = document_a JOIN s y ON y.doc_id = document_b)
 SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) * (count(*) - 1) // 2 FROM documents) AS all_possible_pairs, count(*) AS lsh_candidate_pairs,
-round(1 - count(*) / (SELECT count(*) * (count(*) - 1) // 2 FROM documents)::DOUBLE, 6) AS reduction_ratio, count(*) FILTER (j >= 0.25) AS accepted_by_jaccard, {round(INDEX.approximate_threshold, 6)}::DOUBLE AS lsh_approximate_threshold FROM j""")
+round(1 - count(*) / (SELECT count(*) * (count(*) - 1) // 2 FROM documents)::DOUBLE, 6) AS reduction_ratio, count(*) FILTER (j >= 0.25) AS accepted_by_jaccard, {round(FULL.approximate_threshold, 6)}::DOUBLE AS lsh_approximate_threshold FROM j""")
 def corpus_summary(spark, sf):
     own = _signed(spark, sf)
     found = lsh.with_sides(lsh.candidates(lsh.banded(own, FULL)), own, ["shingles"]).select((jaccard(F.col("shingles_a"), F.col("shingles_b")) >= 0.25).cast("long").alias("ok"))
@@ -412,7 +409,7 @@ def sorted_token_ratio(spark, sf):
 # evaluation
 
 _LABELED = f"WITH {S.pairs(S.LABELED)}"
-_LSH = f"{_LABELED}, {S.signatures('side_id', 16)} SELECT pair_id, label, (len(shingles_a) > 0 AND len(shingles_b) > 0 AND {_IS})::INT AS candidate, {S.jaccard('shingles_a', 'shingles_b')} AS j FROM sides JOIN {_BOTH}"
+_LSH = f"{_LABELED}, {S.signatures('side_id', FULL.num_perm)} SELECT pair_id, label, (len(shingles_a) > 0 AND len(shingles_b) > 0 AND {_IS})::INT AS candidate, {S.jaccard('shingles_a', 'shingles_b')} AS j FROM sides JOIN {_BOTH}"
 
 
 def _scored(spark, sf, rule: PairConfig = RULE):
@@ -563,7 +560,7 @@ def similarity_histogram(spark, sf):
     return own.groupBy("label", F.floor(jaccard(F.col("shingles_a"), F.col("shingles_b")) * 20).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH d AS ({_INDEX} SELECT * FROM b), q AS ({_B}, {S.signatures('item_id', 16)} SELECT item_id, unnest(range(0, 8))::INT AS band, unnest({_BANDS}) AS key FROM g JOIN s USING (item_id) WHERE len(shingles) > 0)
+@query(f"""WITH d AS ({_INDEX} SELECT * FROM b), q AS ({_B}, {S.signatures('item_id', FULL.num_perm)} SELECT item_id, unnest(range(0, {FULL.bands}))::INT AS band, unnest({_BANDS}) AS key FROM g JOIN s USING (item_id) WHERE len(shingles) > 0)
 SELECT DISTINCT item_id, doc_id FROM q JOIN d USING (band, key)""")
 def stream_probe(spark, sf):
     """Benchmark items as the static index, documents as they would arrive."""
