@@ -23,6 +23,7 @@ U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15)
 _INV = U64(pow(int(_BASE), -1, 1 << 64))
 CHUNK_BYTES = 1 << 20
+BATCH_BYTES = 8 << 20
 _pow = np.ones(1, U64)
 _inv = np.ones(1, U64)
 
@@ -46,6 +47,14 @@ def shared_folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of ``BATCH_BYTES`` for the session's Python stages: by default a
+    batch of texts may take 64 MB, several times over in the JVM and the worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(key).rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def written(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts its lineage, and a
     lost executor costs no recomputation of what came before."""

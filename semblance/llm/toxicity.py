@@ -187,6 +187,7 @@ def _with_texts(docs: DataFrame, names: tuple[str, str]) -> DataFrame:
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model:
+    C.small_batches(spark)
     known = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)")
     # a document labelled both ways teaches nothing
     known = known.groupBy("id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most").drop("most")
