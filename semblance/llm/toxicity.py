@@ -193,10 +193,17 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, labelled: int
     known = known.groupBy("id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most").drop("most")
     known = known.orderBy(F.xxhash64("id"), "id").limit(labelled)
     thin = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where("text is not null")
-    own = thin.join(F.broadcast(known), F.col("doc") == F.col("id")).select("text", "toxic")
-    own = own.withColumn("norm", C.norm(F.col("text"))).groupBy("norm").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("norm <> '' and toxic = most")
-    place = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("norm"), "norm"))
-    own = own.withColumn("opened", undone(F.col("text"))).withColumn("fold", (3 - (place - 1) % 4).cast("int")).drop("most")
+    found = thin.join(F.broadcast(known), F.col("doc") == F.col("id")).withColumn("content", F.xxhash64("text"))
+    # copies and folds are found on hashes; the texts of the chosen rows are read after that
+    sets = found.select("doc", "content", "toxic", C.norm(F.col("text")).alias("norm")).where("norm <> ''").select("doc", "content", "toxic", F.xxhash64("norm").alias("h"))
+    sets = sets.groupBy("h").agg(F.min(F.struct("content", "doc")).alias("first"), F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most")
+    place = F.row_number().over(Window.partitionBy("toxic").orderBy("h"))
+    chosen = sets.select(F.col("first.doc").alias("_doc"), F.col("first.content").alias("_content"), "h", (3 - (place - 1) % 4).cast("int").alias("fold"))
+    chosen = C.written(spark, chosen, "toxic-chosen")
+    own = found.join(F.broadcast(chosen), (F.col("doc") == F.col("_doc")) & (F.col("content") == F.col("_content"))).select("h", "fold", "toxic", "text")
+    if not own.groupBy("h").count().where("count > 1").isEmpty():  # repeated rows
+        own = own.dropDuplicates(["h"])
+    own = _with_texts(own, ("norm", "opened"))
     own = C.written(spark, own, "toxic-labelled")
     every = {r.toxic: (r.n, r.m) for r in own.groupBy("toxic").agg(F.count_if(F.col("fold") < 2).alias("n"), F.count("*").alias("m")).collect()}
     if len(every) < 2 or min(m for _, m in every.values()) < 4:
