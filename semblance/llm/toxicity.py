@@ -196,12 +196,13 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, labelled: int
     found = thin.join(F.broadcast(known), F.col("doc") == F.col("id")).withColumn("content", F.xxhash64("text"))
     # copies and folds are found on hashes; the texts of the chosen rows are read after that
     sets = found.select("doc", "content", "toxic", C.norm(F.col("text")).alias("norm")).where("norm <> ''").select("doc", "content", "toxic", F.xxhash64("norm").alias("h"))
-    sets = sets.groupBy("h").agg(F.min(F.struct("content", "doc")).alias("first"), F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most")
+    sets = sets.groupBy("h", "content", "doc", "toxic").agg(F.count("*").alias("n"))
+    sets = sets.groupBy("h").agg(F.min(F.struct("content", "doc")).alias("first"), F.max("n").alias("n"), F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most")
     place = F.row_number().over(Window.partitionBy("toxic").orderBy("h"))
-    chosen = sets.select(F.col("first.doc").alias("_doc"), F.col("first.content").alias("_content"), "h", (3 - (place - 1) % 4).cast("int").alias("fold"))
+    chosen = sets.select(F.col("first.doc").alias("_doc"), F.col("first.content").alias("_content"), "h", "n", (3 - (place - 1) % 4).cast("int").alias("fold"))
     chosen = C.written(spark, chosen, "toxic-chosen")
     own = found.join(F.broadcast(chosen), (F.col("doc") == F.col("_doc")) & (F.col("content") == F.col("_content"))).select("h", "fold", "toxic", "text")
-    if not own.groupBy("h").count().where("count > 1").isEmpty():  # repeated rows
+    if not chosen.where("n > 1").isEmpty():  # repeated rows
         own = own.dropDuplicates(["h"])
     own = _with_texts(own, ("norm", "opened"))
     own = C.written(spark, own, "toxic-labelled")
