@@ -7,7 +7,8 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class TextConfig:
-    """How texts become tokens and shingles."""
+    """How texts become tokens and shingles. Without ``exact_unicode`` no text goes
+    through Python, and NFKC and full case folding are left out."""
 
     shingle_size: int = 3
     language: str = "auto"
@@ -16,7 +17,7 @@ class TextConfig:
     adaptive_short_text: bool = False
     short_text_token_limit: int = 10
     custom_stopwords: tuple[str, ...] = ()
-    exact_unicode: bool = False
+    exact_unicode: bool = True
 
     def __post_init__(self) -> None:
         if self.shingle_size not in (3, 4, 5):

@@ -1,12 +1,13 @@
 """Normalisation, tokens and shingles as native expressions.
 
-Every step stays in the JVM. What Spark lacks (NFKC, full case folding, exact
-combining classes) is in :func:`normalize_exact`, an Arrow UDF; on text that
-needs none of it both give the same.
+Every step stays in the JVM but for texts with characters whose NFKC form, full
+case folding or combining class Spark doesn't know: these texts, and no others,
+are normalised by an Arrow UDF. :func:`normalize` is thus exact for any text.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 
@@ -26,13 +27,49 @@ URL = r"(?:www\.|https?://)\S+"
 MAIL = r"[+.\w-]+@[.\w-]+[.](?i:[a-z]){2,}\b"
 
 
-def normalize(text: Column) -> Column:
-    c = F.lower(F.translate(F.coalesce(text, F.lit("")), MAP_FROM, MAP_TO))
-    c = F.regexp_replace(F.replace(c, F.lit("ß"), F.lit("ss")), "(?iU)" + URL, " ")
-    c = F.regexp_replace(c, r"(?U)\b" + MAIL, " ")
+def normalize_native(text: Column) -> Column:
+    """The chain in the JVM, exact where :func:`needs_python` is false. The two
+    searches of URLs and addresses run on texts only that may hold one."""
+    c = F.replace(F.lower(F.translate(F.coalesce(text, F.lit("")), MAP_FROM, MAP_TO)), F.lit("ß"), F.lit("ss"))
+    c = _let(c, lambda x: F.when(F.contains(x, F.lit("http")) | F.contains(x, F.lit("www.")), F.regexp_replace(x, "(?iU)" + URL, " ")).otherwise(x))
+    c = _let(c, lambda x: F.when(F.contains(x, F.lit("@")), F.regexp_replace(x, r"(?U)\b" + MAIL, " ")).otherwise(x))
     return F.trim(F.regexp_replace(F.regexp_replace(c, r"\p{Mn}", ""), r"[^\p{L}\p{N}]+", " "))
 
 
+@functools.cache
+def _native_ranges() -> str:
+    """Ranges of characters beyond ASCII, for a Java pattern, on which both chains
+    agree in any context: stable under NFKC and never the latter half of a
+    composition, folded as lowered, no marks, and known since Unicode 3.2."""
+    second = {chr(int(d[1], 16)) for d in (unicodedata.decomposition(chr(c)).split() for c in range(0x110000)) if len(d) == 2 and d[0][0] != "<"}
+    old = unicodedata.ucd_3_2_0.category
+
+    def same(c: str) -> bool:
+        kind = unicodedata.category(c)
+        fixed = kind[0] in "LSZ" or kind in ("Nd", "Cf", "Cc") or kind[0] == "P" and kind != "Pc"
+        blank = c.isspace() == (kind[0] == "Z" or c == "\x85")
+        return fixed and blank and old(c) == kind and c not in second and c != "Σ" and not "ᄀ" <= c <= "ᇿ" and unicodedata.normalize("NFKC", c) == c and (c.casefold() == c.lower() or c == "ß")
+
+    ranges: list[list[int]] = []
+    for c in range(0x80, 0x10000):
+        if same(chr(c)):
+            if ranges and ranges[-1][1] == c - 1:
+                ranges[-1][1] = c
+            else:
+                ranges.append([c, c])
+    return "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in ranges if b - a >= 7 or b < 0x700)
+
+
+def needs_python(text: Column) -> Column:
+    """Whether a text holds a character that the native chain may treat otherwise."""
+    odd = F.regexp_replace(text, r"[\x00-\x1b\x20-\x7e]+", "")
+    return F.when(text.rlike(r"[^\x00-\x1b\x20-\x7e]"), odd.rlike(f"[^{_native_ranges()}]")).otherwise(False)
+
+
+def normalize(text: Column) -> Column:
+    return F.coalesce(exact_part(text), normalize_native(text))
+
+
 def normalize_text(text: str | None) -> str:
     """The exact chain, on one string."""
     s = unicodedata.normalize("NFKC", text or "").translate(dict(zip(map(ord, MAP_FROM), [*MAP_TO, ""], strict=True))).casefold()
@@ -41,12 +78,14 @@ def normalize_text(text: str | None) -> str:
     return " ".join("".join(kept).split())
 
 
-def normalize_exact(text: Column) -> Column:
+def exact_part(text: Column) -> Column:
+    """The normalised text where Python is needed, else null (and nothing is sent)."""
+
     @F.pandas_udf("string")
     def of(s: pd.Series) -> pd.Series:
-        return s.map(normalize_text, na_action=None)
+        return s.map(normalize_text, na_action="ignore")
 
-    return of(text)
+    return of(F.when(needs_python(text), text))
 
 
 def detect_language(norm: Column) -> Column:
@@ -162,7 +201,10 @@ def lemmatize_fa(toks: Column) -> Column:
 def prepare(df: DataFrame, config: TextConfig = TextConfig(), text: str = "text", suffix: str = "") -> DataFrame:
     """``df`` with ``norm``, ``language``, ``tokens`` and ``shingles`` (each with the suffix)."""
     norm, lang, toks, sh = (f"{c}{suffix}" for c in ("norm", "language", "tokens", "shingles"))
-    df = once(df, {norm: normalize_exact(F.col(text)) if config.exact_unicode else normalize(F.col(text))})
+    if config.exact_unicode:  # a stage of its own, as a generator takes no Python
+        df = once(df.withColumn("_exact", exact_part(F.col(text))), {norm: F.coalesce("_exact", normalize_native(F.col(text)))}).drop("_exact")
+    else:
+        df = once(df, {norm: normalize_native(F.col(text))})
     df = df.withColumn(lang, detect_language(F.col(norm)) if config.language == "auto" else F.lit(config.language))
     df = once(df, {toks: tokens(F.col(norm), F.col(lang), config)})
     made = shingles_adaptive(F.col(toks), config.shingle_size) if config.adaptive_short_text else shingles(F.col(toks), config.shingle_size, config.short_text_policy)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +9,7 @@ from ..config import LshConfig
 from ..functions.hashing import minhash_md5, signature
 from ..functions.similarity import jaccard
 from ..functions.text import once
+from ..sources.store import stored
 
 
 def signed(df: DataFrame, config: LshConfig = LshConfig(), shingles: str = "shingles", name: str = "signature") -> DataFrame:
@@ -83,19 +83,27 @@ def jaccard_join(docs: DataFrame, threshold: float, id: str = "doc_id") -> DataF
     Prefix filter: shingles are ordered from rare to frequent, and two sets at
     the threshold share one among the first ``size - ceil(t * size) + 1``; so
     frequent shingles, the hot keys of a plain self-join, are hardly joined on.
+    The shingles' hashes are stored once; texts are prepared no more after that.
     """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold lies above 0, and 1 at most")
-    each = docs.select(F.col(id).alias("id"), F.explode("shingles").alias("s")).withColumn("s", F.xxhash64("s"))
+    own = stored(docs.where(F.size("shingles") > 0).select(F.col(id).alias("id"), hashed("shingles").alias("shingles")), "shingles")
+    each = own.select("id", F.explode("shingles").alias("s"))
     df = each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
-    sized = docs.select(F.col(id).alias("id"), F.size("shingles").alias("n"))
+    sized = own.select("id", F.size("shingles").alias("n"))
     ranked = each.join(df, "s").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("r")).join(sized, "id")
     # shingles of one document alone come first in the order and can't be shared
     keep = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1 - (F.col("n") - F.size("r"))
     prefix = ranked.where(keep > 0).select("id", "n", F.explode(F.slice("r", 1, F.least(keep, F.size("r")).cast("int"))).alias("x")).select("id", "n", F.col("x.s").alias("s"))
+    prefix = stored(prefix, "prefixes")
     left, right = prefix.toDF("document_a", "na", "s"), prefix.toDF("document_b", "nb", "s")
     near = (F.least("na", "nb") >= F.greatest("na", "nb") * (threshold - 1e-9)) & (F.col("document_a") < F.col("document_b"))
-    return verified(left.join(right, "s").where(near).select("document_a", "document_b").distinct(), docs, threshold, id)
+    return verified(left.join(right, "s").where(near).select("document_a", "document_b").distinct(), own, threshold, "id")
+
+
+def hashed(strings: str) -> Column:
+    """Strings as 64-bit hashes, an eighth of the bytes to exchange."""
+    return F.transform(strings, lambda s: F.xxhash64(s))
 
 
 def jaccard_between(left: DataFrame, right: DataFrame, left_id: str, right_id: str) -> DataFrame:

@@ -25,13 +25,18 @@ def weights(tf: DataFrame, model: DataFrame, n: int) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, features: Column, key: str, n: int | None = None, model: DataFrame | None = None, profile: str = "blake2b") -> DataFrame:
-    """(key, fingerprint) of every row. Weights are whole millionths, so sums have no order."""
+    """(key, fingerprint) of every row. Weights are whole millionths, so sums have no
+    order. Every distinct feature is hashed once; without ``model`` the IDF is of
+    ``docs`` themselves. Give it a stored table: it is read twice."""
     tf = term_frequency(docs, features, [key])
     n = docs.count() if n is None else n
-    model = idf(tf, n) if model is None else model
-    hashed = model.withColumn("h", (simhash_blake if profile == "blake2b" else simhash_md5)(F.col("feature")))
-    w = weights(tf, model, n).join(hashed.select("feature", "h"), "feature", "left")
-    w = w.withColumn("h", F.coalesce("h", (simhash_blake if profile == "blake2b" else simhash_md5)(F.col("feature"))))
+    own = tf.groupBy("feature").agg(F.count("*").alias("df"))
+    if model is None:
+        known = own.select("feature", (F.log(F.lit(n + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    else:
+        known = own.select("feature").join(model.select("feature", "idf"), "feature", "left").withColumn("idf", F.coalesce("idf", F.log(F.lit(float(n + 1))) + 1))
+    known = known.withColumn("h", (simhash_blake if profile == "blake2b" else simhash_md5)(F.col("feature")))
+    w = tf.join(known, "feature").withColumn("weight", (1 + F.log("tf")) * F.col("idf"))
     own = w.groupBy(key).agg(F.collect_list(F.struct("h", F.round(F.col("weight") * 1e6).cast("long").alias("w"))).alias("pairs"))
     return docs.select(key).join(own.select(key, fingerprint(F.col("pairs")).alias("fingerprint")), key, "left").withColumn("fingerprint", F.coalesce("fingerprint", F.lit(0).cast("long")))
 
@@ -42,13 +47,15 @@ def sides(pairs: DataFrame, key: str, columns: tuple[str, ...] = ("tokens",)) ->
     return pairs.select(key, each).select(key, "x.*")
 
 
-def pair_cosine(pairs: DataFrame, key: str, features: Column, name: str = "cosine", train: DataFrame | None = None) -> DataFrame:
-    """(key, name): cosine of both sides; IDF from ``train`` (key, side, tokens), by default all sides."""
+def pair_cosine(pairs: DataFrame, key: str, features: Column, name: str = "cosine", train: DataFrame | None = None, model: DataFrame | None = None, n: int | None = None) -> DataFrame:
+    """(key, name): cosine of both sides; IDF from ``train`` (key, side, tokens), by default all sides, or a
+    ``model`` (feature, idf) of ``n`` texts."""
     own = sides(pairs, key)
     tf = term_frequency(own, features, [key, "side"])
-    learn = tf if train is None else term_frequency(train, features, [key, "side"])
-    n = (own if train is None else train).count()
-    w = weights(tf, idf(learn, n), n)
+    if model is None:
+        n = 2 * pairs.count() if train is None else train.count()
+        model = idf(tf if train is None else term_frequency(train, features, [key, "side"]), n)
+    w = weights(tf, model, n)
     a, b = (F.max(F.when(F.col("side") == s, F.col("weight"))) for s in "ab")
     # one exchange on (key, feature) holds both sides; the sums then need the key alone
     both = w.groupBy(key, "feature").agg(a.alias("a"), b.alias("b")).groupBy(key).agg(F.sum(F.col("a") * F.col("b")).alias("dot"), F.sum(F.col("a") * F.col("a")).alias("aa"), F.sum(F.col("b") * F.col("b")).alias("bb"))

@@ -13,6 +13,7 @@ from ..functions.text import cosine_features, hybrid_features, prepare, word_ngr
 from ..operators import lsh
 from ..operators.metrics import candidate_metrics, classification_metrics
 from ..operators.tfidf import fingerprints, pair_cosine, sides
+from ..sources.store import stored
 
 
 def simhash_features(config: PairConfig) -> Column:
@@ -20,16 +21,15 @@ def simhash_features(config: PairConfig) -> Column:
     return hybrid_features(t, config.simhash_ngram_size) if config.simhash_mode == "hybrid" else word_ngrams(t, config.simhash_ngram_size)
 
 
-def corpus(docs: DataFrame, text: TextConfig = TextConfig(), index: LshConfig = LshConfig(), rule: PairConfig = PairConfig(), id: str = "document_id", stored=lambda df: df.persist()) -> tuple[DataFrame, DataFrame]:
+def corpus(docs: DataFrame, text: TextConfig = TextConfig(), index: LshConfig = LshConfig(), rule: PairConfig = PairConfig(), id: str = "document_id", keep=stored) -> tuple[DataFrame, DataFrame]:
     """(candidate report, summary) of one table of documents (id, text).
 
-    ``stored`` keeps the signed documents between their uses; on a cluster pass
-    one that writes a table.
+    ``keep`` holds the signed documents between their uses, by default as a table.
     """
     docs = docs.withColumn(id, F.col(id).cast("string"))
-    own = stored(lsh.signed(prepare(docs, text), index))
+    own = keep(lsh.signed(prepare(docs, text), index))
     lsh.check_unique(own, id)
-    found = stored(lsh.candidates(lsh.banded(own, index, id), id))
+    found = keep(lsh.candidates(lsh.banded(own, index, id), id))
     prints = fingerprints(own, simhash_features(rule), id, profile=index.profile)
     both = lsh.with_sides(found, own.join(prints, id), ["shingles", "tokens", "signature", "fingerprint"], id)
     exact = jaccard(F.col("shingles_a"), F.col("shingles_b"))
@@ -57,30 +57,38 @@ def pair_frame(pairs: DataFrame, text: TextConfig = TextConfig()) -> DataFrame:
     return pairs
 
 
-def score_pairs(pairs: DataFrame, text: TextConfig = TextConfig(), index: LshConfig = LshConfig(), rule: PairConfig = PairConfig(), key: str = "pair_id") -> DataFrame:
-    """Every pair with the measures, predictions and errors of each method."""
+def score_pairs(pairs: DataFrame, text: TextConfig = TextConfig(), index: LshConfig = LshConfig(), rule: PairConfig = PairConfig(), key: str = "pair_id", methods: tuple[str, ...] = ("lsh", "simhash", "cosine")) -> DataFrame:
+    """Every pair with the measures, predictions and errors of each of ``methods``
+    (cosine only with a threshold). The pairs are prepared once and stored."""
     own = pair_frame(pairs, text)
-    for s in "ab":
-        own = lsh.signed(own, index, f"shingles_{s}", f"signature_{s}")
-    some = (F.size("shingles_a") > 0) & (F.size("shingles_b") > 0)
+    rest = [c for c in own.columns if not c.startswith(("norm_", "shingles_"))]
+    if "lsh" in methods:
+        for s in "ab":
+            own = lsh.signed(own, index, f"shingles_{s}", f"signature_{s}")
+        some = (F.size("shingles_a") > 0) & (F.size("shingles_b") > 0)
+        own = own.withColumns({
+            "lsh_candidate": (some & lsh.is_candidate(F.col("signature_a"), F.col("signature_b"), index)).cast("int"),
+            "jaccard": jaccard(F.col("shingles_a"), F.col("shingles_b")),
+            "minhash_similarity": signature_similarity(F.col("signature_a"), F.col("signature_b")),
+        })
+        own = own.withColumn("lsh_prediction", (F.col("lsh_candidate") * (F.col("jaccard") >= rule.jaccard_threshold).cast("int")))
+        rest += ["lsh_candidate", "jaccard", "minhash_similarity", "lsh_prediction"]
     words = (F.size("tokens_a") > 0) & (F.size("tokens_b") > 0)
-    own = own.withColumns({
-        "lsh_candidate": (some & lsh.is_candidate(F.col("signature_a"), F.col("signature_b"), index)).cast("int"),
-        "jaccard": jaccard(F.col("shingles_a"), F.col("shingles_b")),
-        "minhash_similarity": signature_similarity(F.col("signature_a"), F.col("signature_b")),
-    })
-    own = own.withColumn("lsh_prediction", (F.col("lsh_candidate") * (F.col("jaccard") >= rule.jaccard_threshold).cast("int")))
-    both = sides(own, key).withColumn("_at", F.concat_ws(":", key, "side"))
-    prints = fingerprints(both, simhash_features(rule), "_at", profile=index.profile)
-    prints = both.select(key, "side", "_at").join(prints, "_at").groupBy(key).agg(*(F.max(F.when(F.col("side") == s, F.col("fingerprint"))).alias(f"fingerprint_{s}") for s in "ab"))
-    own = own.join(prints, key).withColumn("simhash_hamming", hamming(F.col("fingerprint_a"), F.col("fingerprint_b")))
-    own = own.withColumn("simhash_similarity", 1 - F.col("simhash_hamming") / 64).withColumn("simhash_prediction", (words & (F.col("simhash_hamming") <= rule.simhash_max_distance)).cast("int"))
-    methods = ["lsh", "simhash"]
-    if rule.cosine_threshold is not None:
-        own = own.join(pair_cosine(own, key, cosine_features(F.col("tokens")), "cosine_similarity"), key)
+    more = [m for m in methods if m == "simhash" or m == "cosine" and rule.cosine_threshold is not None]
+    own = own.select(*rest)
+    own = stored(own, "pairs") if more else own
+    if "simhash" in more:
+        both = sides(own, key).withColumn("_at", F.concat_ws(":", key, "side"))
+        prints = fingerprints(both, simhash_features(rule), "_at", n=2 * own.count(), profile=index.profile)
+        prints = prints.select(F.substring_index("_at", ":", -1).alias("side"), "fingerprint", F.expr("substring(_at, 1, length(_at) - 2)").alias("_key"))
+        prints = prints.groupBy("_key").agg(*(F.max(F.when(F.col("side") == s, F.col("fingerprint"))).alias(f"fingerprint_{s}") for s in "ab"))
+        own = own.join(prints, F.col(key).cast("string") == F.col("_key")).drop("_key").withColumn("simhash_hamming", hamming(F.col("fingerprint_a"), F.col("fingerprint_b")))
+        own = own.withColumn("simhash_similarity", 1 - F.col("simhash_hamming") / 64).withColumn("simhash_prediction", (words & (F.col("simhash_hamming") <= rule.simhash_max_distance)).cast("int"))
+    if "cosine" in more:
+        own = own.join(pair_cosine(own.select(key, "tokens_a", "tokens_b"), key, cosine_features(F.col("tokens")), "cosine_similarity"), key)
         own = own.withColumn("cosine_prediction", (words & (F.col("cosine_similarity") >= rule.cosine_threshold)).cast("int"))
-        methods.append("cosine")
-    return own.withColumns({f"error_{m}": (F.col(f"{m}_prediction") != F.col("label")).cast("int") for m in methods if "label" in own.columns})
+    done = [m for m in ("lsh", *more) if f"{m}_prediction" in own.columns]
+    return own.withColumns({f"error_{m}": (F.col(f"{m}_prediction") != F.col("label")).cast("int") for m in done if "label" in own.columns})
 
 
 def evaluate_pairs(scored: DataFrame, index: LshConfig = LshConfig(), rule: PairConfig = PairConfig()) -> DataFrame:
@@ -112,7 +120,7 @@ def variants(pairs: DataFrame, text: TextConfig = TextConfig(), index: LshConfig
     )
     out = None
     for name, c, i, r in runs:
-        m = classification_metrics(score_pairs(pairs, text, i, r), "label", f"{c}_prediction")
+        m = classification_metrics(score_pairs(pairs, text, i, r, methods=(c,)), "label", f"{c}_prediction")
         row = m.select(F.lit(name).alias("pipeline"), *(F.bround(x, 6).alias(x) for x in ("precision", "recall", "f1")))
         out = row if out is None else out.union(row)
     return out

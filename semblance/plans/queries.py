@@ -19,6 +19,7 @@ from ..operators import features as X
 from ..operators import lsh, metrics, tfidf
 from ..operators.model import calibrate, fit
 from ..sources.io import parse_label
+from ..sources.store import spread, stored
 from ..streaming.probe import probe
 from . import pipelines as PL
 from . import sql as S
@@ -41,7 +42,7 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf}/{name}.parquet"))
 
 
 def docs(spark: SparkSession, sf: str, config: TextConfig = TextConfig()) -> DataFrame:
@@ -85,9 +86,13 @@ def normalize_pages(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.normalize(F.col("html")).alias("norm"))
 
 
-@query(f"WITH n AS ({_T}) SELECT conv_id, turn, {S.norm('text')} AS norm FROM n")
+#: Texts that NFKC, full case folding or combining classes change, and what becomes of them.
+EXACT = [("ﬁle ２０ ½", "file 20 1 2"), ("ＡＢＣ①", "abc1"), ("cafe\u0301 na\u00efve", "café naïve"), ("ΟΔΟΣ Straße", "οδοσ strasse"), ("ǅ Ⅷ ㎏", "dž viii kg"), ("ｗｗｗ.x.com a", "a"), ("ﷺ", "صلی الله علیه وسلم"), ("plain text", "plain text")]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in EXACT) + ") v(raw, norm)")
 def normalize_exact(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", T.normalize_exact(F.col("text")).alias("norm"))
+    return spark.createDataFrame([(a,) for a, _ in EXACT], "raw string").select("raw", T.normalize(F.col("raw")).alias("norm"))
 
 
 @query(f"WITH n AS (SELECT doc_id, {S.norm('text')} AS norm FROM documents) SELECT doc_id, {S.lang('norm')} AS language FROM n")
@@ -206,6 +211,15 @@ def _signed(spark, sf, index: LshConfig = FULL):
     return lsh.signed(docs(spark, sf), index)
 
 
+def _kept(spark, sf):
+    """(doc_id, hashes of the shingles, signature), prepared once."""
+    return stored(_signed(spark, sf).select("doc_id", lsh.hashed("shingles").alias("shingles"), "signature"), "signed")
+
+
+def _near(own: DataFrame) -> DataFrame:
+    return lsh.candidates(stored(lsh.banded(own, FULL), "bands"))
+
+
 @query(f"{_G} SELECT doc_id, array_to_string(sig, ',') AS signature FROM g")
 def minhash_signature(spark, sf):
     return _signed(spark, sf).select("doc_id", F.array_join(F.col("signature").cast("array<string>"), ",").alias("signature"))
@@ -218,19 +232,19 @@ def lsh_bands(spark, sf):
 
 @query(f"{_CAND} SELECT * FROM c")
 def lsh_candidates(spark, sf):
-    return lsh.candidates(lsh.banded(_signed(spark, sf), FULL))
+    return _near(_signed(spark, sf))
 
 
 @query(f"{_CAND} SELECT document_a, document_b, {S.jaccard('x.shingles', 'y.shingles')} AS jaccard FROM c JOIN s x ON x.doc_id = document_a JOIN s y ON y.doc_id = document_b WHERE {S.jaccard('x.shingles', 'y.shingles')} >= 0.25")
 def lsh_verified(spark, sf):
-    own = _signed(spark, sf)
-    return lsh.verified(lsh.candidates(lsh.banded(own, FULL)), own, 0.25)
+    own = _kept(spark, sf)
+    return lsh.verified(_near(own), own, 0.25)
 
 
 @query(f"{_CAND} SELECT document_a, document_b, len(list_filter(range(1, {FULL.num_perm + 1}), lambda i: x.sig[i] = y.sig[i])) / {FULL.num_perm}::DOUBLE AS similarity FROM c JOIN g x ON x.doc_id = document_a JOIN g y ON y.doc_id = document_b")
 def minhash_similarity(spark, sf):
-    own = _signed(spark, sf)
-    both = lsh.with_sides(lsh.candidates(lsh.banded(own, FULL)), own, ["signature"])
+    own = _kept(spark, sf)
+    both = lsh.with_sides(_near(own), own, ["signature"])
     return both.select("document_a", "document_b", signature_similarity(F.col("signature_a"), F.col("signature_b")).alias("similarity"))
 
 
@@ -255,8 +269,8 @@ def lsh_is_candidate(spark, sf):
 
 @query("SELECT k::INT AS step, round(1 - (1 - (k / 20.0) ** 2) ** 64, 6) AS probability FROM range(0, 21) r(k)")
 def lsh_s_curve(spark, sf):
-    p = F.col("id") / 20
-    return spark.range(21).select(F.col("id").cast("int").alias("step"), F.round(1 - F.pow(1 - F.pow(p, F.lit(2)), F.lit(64)), 6).alias("probability"))
+    own = spark.createDataFrame([(k, p) for k, (_, p) in enumerate(lsh.s_curve(20, 64, 2))], "step int, probability double")
+    return own.withColumn("probability", F.round("probability", 6))
 
 
 @query("""SELECT t / 20.0 AS threshold, b AS bands, 128 // b AS rows FROM range(1, 20) x(t), range(1, 129) y(b) WHERE 128 % b = 0
@@ -269,8 +283,8 @@ def adaptive_lsh_params(spark, sf):
 SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) * (count(*) - 1) // 2 FROM documents) AS all_possible_pairs, count(*) AS lsh_candidate_pairs,
 round(1 - count(*) / (SELECT count(*) * (count(*) - 1) // 2 FROM documents)::DOUBLE, 6) AS reduction_ratio, count(*) FILTER (j >= 0.25) AS accepted_by_jaccard, {round(FULL.approximate_threshold, 6)}::DOUBLE AS lsh_approximate_threshold FROM j""")
 def corpus_summary(spark, sf):
-    own = _signed(spark, sf)
-    found = lsh.with_sides(lsh.candidates(lsh.banded(own, FULL)), own, ["shingles"]).select((jaccard(F.col("shingles_a"), F.col("shingles_b")) >= 0.25).cast("long").alias("ok"))
+    own = _kept(spark, sf)
+    found = lsh.with_sides(_near(own), own, ["shingles"]).select((jaccard(F.col("shingles_a"), F.col("shingles_b")) >= 0.25).cast("long").alias("ok"))
     total = table(spark, sf, "documents").agg(F.count("*").alias("documents"))
     both = total.crossJoin(found.agg(F.count("*").alias("lsh_candidate_pairs"), F.coalesce(F.sum("ok"), F.lit(0)).alias("accepted_by_jaccard")))
     pairs = F.expr("documents * (documents - 1) div 2")
@@ -298,7 +312,7 @@ _TF = f"{_D}, x AS (SELECT doc_id, unnest({S.ngrams('tokens', 1)}) AS feature FR
 
 
 def _tf(spark, sf):
-    return tfidf.term_frequency(docs(spark, sf), T.word_ngrams(F.col("tokens"), 1), ["doc_id"])
+    return stored(tfidf.term_frequency(docs(spark, sf), T.word_ngrams(F.col("tokens"), 1), ["doc_id"]), "tf")
 
 
 @query(f"{_TF} SELECT feature, df, round(idf, 6) AS idf FROM i")
@@ -316,7 +330,8 @@ _FP = f"{_D}, {S.fingerprints('doc_id', S.ngrams('tokens', 1))}"
 
 
 def _prints(spark, sf):
-    return tfidf.fingerprints(docs(spark, sf), T.word_ngrams(F.col("tokens"), 1), "doc_id", profile="md5")
+    own = stored(docs(spark, sf).select("doc_id", "tokens"), "tokens")
+    return tfidf.fingerprints(own, T.word_ngrams(F.col("tokens"), 1), "doc_id", profile="md5")
 
 
 @query(f"{_FP} SELECT doc_id, format('{{:08x}}{{:08x}}', hi, lo) AS fingerprint FROM f")
@@ -326,7 +341,7 @@ def simhash_fingerprint(spark, sf):
 
 @query(f"WITH {S.prepared('benchmark', 'item_id')}, {S.fingerprints('item_id', f'''list_concat({S.ngrams('tokens', 1)}, {S.trigrams('tokens')})''')} SELECT item_id, format('{{:08x}}{{:08x}}', hi, lo) AS fingerprint FROM f")
 def hybrid_simhash(spark, sf):
-    return tfidf.fingerprints(bench(spark, sf), T.hybrid_features(F.col("tokens")), "item_id", profile="md5").select("item_id", fingerprint_hex(F.col("fingerprint")).alias("fingerprint"))
+    return tfidf.fingerprints(stored(bench(spark, sf).select("item_id", "tokens"), "tokens"), T.hybrid_features(F.col("tokens")), "item_id", profile="md5").select("item_id", fingerprint_hex(F.col("fingerprint")).alias("fingerprint"))
 
 
 @query(f"{_FP} SELECT a.doc_id AS document_a, b.doc_id AS document_b, {S.hamming('a', 'b')} AS distance, 1 - {S.hamming('a', 'b')} / 64.0::DOUBLE AS similarity FROM f a JOIN f b ON b.doc_id = a.doc_id + 1")
@@ -339,7 +354,8 @@ def simhash_hamming(spark, sf):
 
 def _cosine_query(name: str, words: tuple[int, ...], chars: tuple[int, ...]):
     def run(spark, sf):
-        own = tfidf.pair_cosine(PL.pair_frame(turns(spark, sf)), "pair_id", T.cosine_features(F.col("tokens"), words, chars))
+        own = stored(PL.pair_frame(turns(spark, sf)).select("pair_id", "tokens_a", "tokens_b"), "pairs")
+        own = tfidf.pair_cosine(own, "pair_id", T.cosine_features(F.col("tokens"), words, chars))
         return own.withColumn("cosine", F.round("cosine", 6))
 
     run.__name__ = name
@@ -379,15 +395,16 @@ def pair_features_set(spark, sf):
 
 
 def _expand_sql() -> str:
-    zero = [x if x in _SET else "0.0::DOUBLE" for x in X.BASE]
-    terms = [*zero, *(f"{zero[i]} * {zero[i]}" for i in X.SQUARED), *(f"{zero[i]} * {zero[j]}" for i, j in X.PRODUCTS)]
-    return f"{_TURNS}, f AS ({_features_sql()}) SELECT pair_id, " + ", ".join(f"({t})::DOUBLE AS x{i}" for i, t in enumerate(terms)) + " FROM f"
+    """All 15 features made up from the ids, so that none of the 39 is constant."""
+    base = [f"((pair_id * {i + 3} + {i}) % 17) / 16.0::DOUBLE" for i in range(len(X.BASE))]
+    terms = [*base, *(f"({base[i]}) * ({base[i]})" for i in X.SQUARED), *(f"({base[i]}) * ({base[j]})" for i, j in X.PRODUCTS)]
+    return f"{_TURNS} SELECT pair_id, " + ", ".join(f"({t})::DOUBLE AS x{i}" for i, t in enumerate(terms)) + " FROM sides"
 
 
 @query(_expand_sql())
 def feature_expand(spark, sf):
-    own = pair_features_set(spark, sf)
-    x = own.select("pair_id", X.expand([F.col(c) if c in _SET else F.lit(0.0) for c in X.BASE]).alias("x"))
+    base = [((F.col("pair_id") * (i + 3) + i) % 17) / 16 for i in range(len(X.BASE))]
+    x = turns(spark, sf).select("pair_id", X.expand(base).alias("x"))
     return x.select("pair_id", *(F.col("x")[i].alias(f"x{i}") for i in range(len(X.EXPANDED))))
 
 
@@ -412,8 +429,8 @@ _LABELED = f"WITH {S.pairs(S.LABELED)}"
 _LSH = f"{_LABELED}, {S.signatures('side_id', FULL.num_perm)} SELECT pair_id, label, (len(shingles_a) > 0 AND len(shingles_b) > 0 AND {_IS})::INT AS candidate, {S.jaccard('shingles_a', 'shingles_b')} AS j FROM sides JOIN {_BOTH}"
 
 
-def _scored(spark, sf, rule: PairConfig = RULE):
-    return PL.score_pairs(labeled(spark, sf), index=FULL, rule=rule)
+def _scored(spark, sf, *methods: str, rule: PairConfig = RULE):
+    return PL.score_pairs(labeled(spark, sf), index=FULL, rule=rule, methods=methods)
 
 
 @query(S.metrics("SELECT quality AS label, toxic AS prediction FROM labels"))
@@ -432,7 +449,7 @@ def candidate_recall(spark, sf):
 
 @query(S.metrics(f"SELECT label, (candidate = 1 AND j >= 0.25)::INT AS prediction FROM ({_LSH})"))
 def lsh_evaluation(spark, sf):
-    return metrics.classification_metrics(_scored(spark, sf), "label", "lsh_prediction")
+    return metrics.classification_metrics(_scored(spark, sf, "lsh"), "label", "lsh_prediction")
 
 
 _SIM = f"{_LABELED}, {S.fingerprints('side_id', S.ngrams('tokens', 1))} SELECT label, (len(tokens_a) > 0 AND len(tokens_b) > 0 AND {S.hamming('x', 'y')} <= 25)::INT AS prediction FROM sides JOIN f x ON x.side_id = pair_id || ':a' JOIN f y ON y.side_id = pair_id || ':b'"
@@ -440,7 +457,7 @@ _SIM = f"{_LABELED}, {S.fingerprints('side_id', S.ngrams('tokens', 1))} SELECT l
 
 @query(S.metrics(_SIM))
 def simhash_evaluation(spark, sf):
-    return metrics.classification_metrics(_scored(spark, sf), "label", "simhash_prediction")
+    return metrics.classification_metrics(_scored(spark, sf, "simhash"), "label", "simhash_prediction")
 
 
 _COS = f"{_LABELED}, {S.cosine(S.cosine_features('tokens', (1, 2), (3, 4, 5)))} SELECT label, (len(tokens_a) > 0 AND len(tokens_b) > 0 AND value >= 0.32)::INT AS prediction FROM sides JOIN c USING (pair_id)"
@@ -448,12 +465,12 @@ _COS = f"{_LABELED}, {S.cosine(S.cosine_features('tokens', (1, 2), (3, 4, 5)))}
 
 @query(S.metrics(_COS))
 def cosine_evaluation(spark, sf):
-    return metrics.classification_metrics(_scored(spark, sf, PairConfig(cosine_threshold=0.32)), "label", "cosine_prediction")
+    return metrics.classification_metrics(_scored(spark, sf, "cosine", rule=PairConfig(cosine_threshold=0.32)), "label", "cosine_prediction")
 
 
 @query(f"SELECT pair_id, label, (label <> (candidate = 1 AND j >= 0.25)::INT)::INT AS error_lsh FROM ({_LSH})")
 def error_flags(spark, sf):
-    return _scored(spark, sf).select("pair_id", "label", "error_lsh")
+    return _scored(spark, sf, "lsh").select("pair_id", "label", "error_lsh")
 
 
 @query(f"SELECT kind, pair_id FROM (SELECT CASE WHEN label = 1 THEN 'FN' ELSE 'FP' END AS kind, pair_id, row_number() OVER (PARTITION BY label ORDER BY pair_id) AS k FROM ({_LSH}) WHERE label <> (candidate = 1 AND j >= 0.25)::INT) WHERE k <= 2")
@@ -462,7 +479,7 @@ def error_samples(spark, sf):
     from pyspark.sql import Window
 
     kind = F.when(F.col("label") == 1, "FN").otherwise("FP").alias("kind")
-    wrong = _scored(spark, sf).where("error_lsh = 1").select(kind, "pair_id")
+    wrong = _scored(spark, sf, "lsh").where("error_lsh = 1").select(kind, "pair_id")
     return wrong.withColumn("k", F.row_number().over(Window.partitionBy("kind").orderBy("pair_id"))).where("k <= 2").drop("k")
 
 
@@ -516,7 +533,7 @@ def ensemble_score(spark, sf):
 
 
 def _calibration_pairs(spark, sf):
-    """Turns of conversations; positive where the second turn repeats a word of three letters or more of the first."""
+    """Turns of conversations; positive where the second turn repeats a word of more than eight letters of the first."""
     own = PL.pair_frame(turns(spark, sf))
     long = lambda c: F.filter(c, lambda t: F.length(t) > 8)
     return own.withColumn("label", F.arrays_overlap(long(F.col("tokens_a")), long(F.col("tokens_b"))).cast("int")).withColumn("label", F.coalesce("label", F.lit(0))).withColumn("index", F.col("pair_id"))

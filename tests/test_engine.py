@@ -14,7 +14,7 @@ def one(spark, text, column):
 
 
 def test_normalize_matches_the_exact_chain(spark):
-    texts = ["The QUICK, brown fox!", None, "", "!!!", "see https://x.y/z or josé@x.com now", "Straße", "اين يك متنِ آزمايشي", "كتـاب می‌روند"]
+    texts = ["The QUICK, brown fox!", None, "", "!!!", "see https://x.y/z or josé@x.com now", "Straße", "اين يك متنِ آزمايشي", "كتـاب می‌روند", "ﬁle ２０ ½", "ΟΔΟΣ", "cafe\u0301", "İstanbul", "한글 ㄱ", "x\x1fy", "😀 a_b", "ｗｗｗ.x.com a", "Ünïcödé WWW.A.b HTTP://q z"]
     for t in texts:
         assert one(spark, t, T.normalize) == T.normalize_text(t)
 
