@@ -39,7 +39,7 @@ class Classifier:
         return 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-35.0)), F.lit(35.0))))
 
     def save(self, path: str, config: TextConfig = TextConfig()) -> None:
-        """Like the model of the reference, without custom stop words."""
+        """The classifier and its preprocessing as JSON, without custom stop words and IDF tables."""
         kept = {k: v for k, v in asdict(config).items() if k not in ("custom_stopwords", "exact_unicode")}
         with open(path, "w", encoding="utf-8") as f:
             json.dump({"version": 1, "model_type": "calibrated_ensemble", "preprocessing": kept, "features": X.EXPANDED, "classifier": asdict(self)}, f, separators=(",", ":"))
