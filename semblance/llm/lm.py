@@ -256,19 +256,20 @@ def encoded(docs: DataFrame, known: Broadcast, rounds: int) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for first, last, w in C.word_chunks(b.column("norm"), chunk=8 << 20):
+            for first, last, w in C.word_chunks(b.column("norm")):
                 flat = known.value.ranks(w.hash)
                 data = pa.Array.from_buffers(pa.binary(), last - first, [None, pa.py_buffer((w.offset * 4).astype(np.int32)), pa.py_buffer(flat)])
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(first, last - first), data], names=["doc_id", "ranks"])
 
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.norm(F.col("text")).alias("norm"))
-    out = thin.mapInArrow(encode, "doc_id long, ranks binary")
+    out = thin.mapInArrow(lambda it: C.tidy(encode(it)), "doc_id long, ranks binary")
     return out.withColumn("part", F.pmod(F.xxhash64("ranks"), F.lit(rounds)).cast("int"))
 
 
 def train(spark: SparkSession, docs: DataFrame, shape: Shape | None = None, leaves: int = LEAVES) -> tuple[Model, DataFrame]:
     """The model of ``docs``, and ``docs`` encoded."""
     shape = shape or Shape()
+    C.small_batches(spark)
     counts = C.written(spark, _counts(docs), "lm-counts")
     most = counts.orderBy(F.desc("n"), "word").limit(leaves).toArrow()
     words, n = most["word"].to_numpy().view(U64), most["n"].to_numpy()
