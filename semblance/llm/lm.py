@@ -48,8 +48,9 @@ from . import common as C
 
 U64 = np.uint64
 CLASSES, MEMBERS, RARE, BITS, ROUNDS = 32, 32, 128, 15, 4
-#: Branches of a node below a rare slot.
-FAN = 32
+#: Branches of a node below a rare slot, a power of two.
+DEEP = 5
+FAN = 1 << DEEP
 #: Words with a leaf of their own, at most; about 30 bytes of each go to every executor (126 MB).
 LEAVES = 1 << 22
 RATE, MINI, EPS = 0.12, 2048, 1e-3
@@ -80,39 +81,49 @@ class Model:
         self.bits = max(shape.bits, (len(h) // FAN).bit_length())  # a weight for each word, at least
         known, rare = h[: shape.known], h[shape.known :]
         # a table by leading bits in which no two known words meet
-        self.hash, self.shift = known, U64(44)
+        self.hash, self.shift = known.copy(), U64(44)
         while len(np.unique(known >> self.shift)) < len(np.unique(known)) and self.shift > 38:
             self.shift -= U64(1)
         self.place = np.zeros(1 << int(U64(64) - self.shift), np.uint16)
         self.place[(known >> self.shift).astype(np.int64)] = np.arange(len(known))
         order = np.argsort(rare)
-        self.rare_hash, self.rare_rank = rare[order], (order + len(known)).astype(np.uint32)
+        self.rare_hash, self.rare_rank = rare[order], order.astype(np.uint32)
+        self.rare_rank += np.uint32(len(known))
+        del order
         # leaf 0 of each slot is for unknown words, the others are its words by frequency
-        slot = (rare % U64(shape.rare)).astype(np.int64)
-        by_slot = np.argsort(slot, kind="stable")
-        sizes = np.bincount(slot, minlength=shape.rare)
-        leaf = np.empty(len(rare), np.int64)
-        leaf[by_slot] = np.arange(len(rare)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
-        self.slot = np.concatenate([np.arange(len(known)), shape.known + slot, shape.known + np.arange(shape.rare)]).astype(np.uint16)
-        self.leaf = np.concatenate([np.zeros(len(known)), leaf, np.zeros(shape.rare)]).astype(np.uint32)
-        self.start = len(self.slot)
-        below = np.zeros((shape.rare, int(sizes.max()) + 1))
-        below[:, 0] = 0.5 + more_n
-        below[slot, leaf] = n[shape.known :]
+        self.start = len(h) + shape.rare
+        self.slot, self.leaf = np.arange(self.start).astype(np.uint16), np.zeros(self.start, np.uint32)
+        own = self.slot[len(known) : len(h)]
+        own[:] = rare % U64(shape.rare)
+        by_slot = np.argsort(own, kind="stable")
+        ends = np.searchsorted(own, np.arange(shape.rare + 1), sorter=by_slot)
+        own += np.uint16(shape.known)
+        self.slot[len(h) :] = shape.known + np.arange(shape.rare)
         count = np.full(shape.slots, 0.5)
         count[: len(known)] += n[: shape.known]
-        count[shape.known :] = below.sum(1)
-        self.tree: list[np.ndarray] = []  # logits of the branches, (slot, node, branch), from the top on
-        while not self.tree or below.shape[1] > 1:
-            below = np.pad(below, ((0, 0), (0, -below.shape[1] % FAN))).reshape(shape.rare, -1, FAN)
-            up = below.sum(2)
-            self.tree.insert(0, (np.log(np.maximum(below, 1e-9)) - np.log(np.maximum(up, 1e-9))[:, :, None]).astype(np.float32))
-            below = up
+        # logits of the branches, (slot, node, branch), from the top on; a slot at a time, as the driver holds all words
+        width, self.tree = int(np.diff(ends).max()) + 1, []
+        while not self.tree or width > 1:
+            width = -(-width // FAN)
+            self.tree.insert(0, np.empty((shape.rare, width, FAN), np.float32))
+        for k in range(shape.rare):
+            mine = by_slot[ends[k] : ends[k + 1]] + len(known)
+            self.leaf[mine] = np.arange(1, len(mine) + 1)
+            below = np.zeros(self.tree[-1][k].size)
+            below[0] = 0.5 + more_n[k]
+            below[1 : len(mine) + 1] = n[mine]
+            count[shape.known + k] = below.sum()
+            for tree in self.tree[::-1]:
+                below = np.pad(below, (0, tree[k].size - len(below))).reshape(-1, FAN)
+                up = below.sum(1)
+                tree[k] = np.log(np.maximum(below, 1e-9)) - np.log(np.maximum(up, 1e-9))[:, None]
+                below = up
         count = count.reshape(shape.classes, shape.members)
         self.a0 = np.log(count.sum(1) / count.sum()).astype(np.float32)
         self.b0 = np.log(count / count.sum(1, keepdims=True)).astype(np.float32)
         self.tables = [np.zeros((1 << self.bits, width), np.float32) for width in (shape.classes, shape.members, FAN)]
         self.acc = [np.zeros(1 << self.bits, np.float32) for _ in self.tables]
+        self.last = np.zeros(1 << self.bits, np.int32)  # scratch of step()
 
     def without(self, *names: str) -> Model:
         """A copy to send where these parts aren't used."""
@@ -156,13 +167,14 @@ class Model:
             return (((own + node.astype(U64)) * U64(0xD6E8FEB86659FD93)) >> shift).astype(np.int64)
 
         yield 0, at, rows(keys, np.zeros(1)), self.a0, klass
-        yield 1, at, rows(keys, klass + 1), self.b0[klass], member
+        yield 1, at, rows(keys, klass + 1), self.b0.take(klass, axis=0), member
         at = np.flatnonzero(slot >= self.shape.known)
         if len(at):
             low, leaf, keys = slot[at] - self.shape.known, self.leaf[target[at]].astype(np.int64), keys[:, at]
             for k, tree in enumerate(self.tree):
-                node, branch = np.divmod(leaf // FAN ** (len(self.tree) - 1 - k), FAN)
-                yield 2, at, rows(keys, (node * self.shape.rare + low) * 16 + k), tree[low, node], branch
+                below = leaf >> DEEP * (len(self.tree) - 1 - k)
+                node, branch = below >> DEEP, below & (FAN - 1)
+                yield 2, at, rows(keys, (node * self.shape.rare + low) * 16 + k), tree.reshape(-1, FAN).take(low * tree.shape[1] + node, axis=0), branch
 
     def logits(self, table: int, rows: np.ndarray, base: np.ndarray) -> np.ndarray:
         w = self.tables[table]
@@ -179,14 +191,24 @@ class Model:
             np.exp(p, out=p)
             p *= (-1 / _row_sums(p))[:, None]
             p[np.arange(len(pos)), truth] += 1
-            acc, flat, width = self.acc[t], self.tables[t].reshape(-1), p.shape[1]
+            acc, table, width = self.acc[t], self.tables[t], p.shape[1]
             size = np.einsum("ij,ij->i", p, p) / np.float32(width)
-            change, place, columns = np.empty_like(p), np.empty(p.shape, np.int64), np.arange(width)
-            for r in rows:  # positions that share a row add up
+            # whole rows, and numbers two at a time where there is an even number of them
+            whole, unit = table.view(f"V{4 * width}").reshape(-1), np.float32 if width % 2 else np.complex64
+            flat, columns = table.reshape(-1).view(unit), np.arange(width * 4 // np.dtype(unit).itemsize)
+            change, now, at = np.empty_like(p), np.empty_like(p), np.arange(len(pos), dtype=np.int32)
+            for r in rows:
                 np.add.at(acc, r, size)
                 np.multiply(p, (RATE / np.sqrt(acc[r] + EPS))[:, None], out=change)
-                np.add((r * width)[:, None], columns, out=place)
-                np.add.at(flat, place.reshape(-1), change.reshape(-1))
+                # of positions that share a row the last one stays, then the others add up
+                self.last[r] = at
+                others = np.flatnonzero(self.last[r] != at)
+                table.take(r, axis=0, out=now, mode="clip")
+                now += change
+                whole[r] = now.view(whole.dtype).reshape(-1)
+                if len(others):
+                    place = (r[others] * len(columns))[:, None] + columns
+                    np.add.at(flat, place.reshape(-1), change.take(others, axis=0).reshape(-1).view(unit))
                 np.add.at(touched[t], r, np.float32(1))
 
     def log_probability(self, past: list[np.ndarray], target: np.ndarray) -> np.ndarray:
@@ -247,8 +269,20 @@ def _counts(docs: DataFrame) -> DataFrame:
     return docs.select(C.norm(F.col("text")).alias("norm")).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _from_most(counts: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Words and counts in runs, from the most frequent word on. They come to the
+    driver a partition at a time; what the caller doesn't take is not fetched."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([c.to_numpy().tobytes()], pa.binary()) for c in b.columns], names=["word", "n"])
+
+    for r in counts.orderBy(F.desc("n"), "word").mapInArrow(packed, "word binary, n binary").toLocalIterator():
+        yield np.frombuffer(r.word, U64), np.frombuffer(r.n, np.int64)
+
+
 #: What only the ranks of words, and what only their probabilities need.
-VOCABULARY, WEIGHTS = ("hash", "place", "rare_hash", "rare_rank"), ("slot", "leaf", "tree", "tables", "acc")
+VOCABULARY, WEIGHTS = ("hash", "place", "rare_hash", "rare_rank"), ("slot", "leaf", "tree", "tables", "acc", "last")
 
 
 def encoded(docs: DataFrame, known: Broadcast, rounds: int) -> DataFrame:
@@ -271,20 +305,28 @@ def train(spark: SparkSession, docs: DataFrame, shape: Shape | None = None, leav
     shape = shape or Shape()
     C.small_batches(spark)
     counts = C.written(spark, _counts(docs), "lm-counts")
-    most = counts.orderBy(F.desc("n"), "word").limit(leaves).toArrow()
-    words, n = most["word"].to_numpy().view(U64), most["n"].to_numpy()
-    # the rest by rare slot: all words of the slot without those that have a leaf
+    # by rare slot, how many words and the sum of their counts; then without those that have a leaf
     slot = F.expr(f"pmod(pmod(word, {shape.rare}) + {(1 << 64) % shape.rare} * cast(word < 0 as int), {shape.rare})")
     beyond = np.zeros((2, shape.rare))
     for r in counts.groupBy(slot.cast("int").alias("slot")).agg(F.count("*").alias("k"), F.sum("n").alias("n")).collect():
         beyond[:, r.slot] = r.k, r.n
-    own = (words % U64(shape.rare)).astype(np.int64)
-    beyond -= np.stack([np.bincount(own, minlength=shape.rare), np.bincount(own, n, shape.rare)])
+    words, n = np.empty(min(leaves, int(beyond[0].sum())), U64), np.empty(min(leaves, int(beyond[0].sum())), np.int64)
+    at = 0
+    for h, c in _from_most(counts):
+        h, c = h[: len(words) - at], c[: len(words) - at]
+        words[at : at + len(h)], n[at : at + len(h)] = h, c
+        at += len(h)
+        own = (h % U64(shape.rare)).astype(np.int64)
+        beyond -= np.stack([np.bincount(own, minlength=shape.rare), np.bincount(own, c, shape.rare)])
+        if at == len(words):
+            break
     model = Model(shape, words, n, (beyond[0], beyond[1]))
+    del words, n
+    C.release()
     known = spark.sparkContext.broadcast(model.without(*WEIGHTS))
     own = C.written(spark, encoded(docs, known, shape.rounds), "lm-encoded")
     known.destroy()
-    for part in range(shape.rounds if len(words) else 0):
+    for part in range(shape.rounds if model.words else 0):
         _round(spark, own.where(F.col("part") == part), model)
     return model, own
 
@@ -341,15 +383,17 @@ def _round(spark: SparkSession, own: DataFrame, model: Model) -> None:
     # a task for each core, as every task sends the rows it touched
     deltas = own.select("ranks").coalesce(max(1, spark.sparkContext.defaultParallelism)).mapInArrow(learn, "t int, block int, task int, hit binary, n binary, acc binary, change binary")
     sums = deltas.repartition("t", "block").sortWithinPartitions("t", "block", "task").mapInArrow(merge, "t int, block int, acc binary, change binary")
-    for r in sums.collect():  # the model's size, whatever the corpus
+    # the model's size, whatever the corpus; a part of it at a time comes to the driver
+    for r in C.written(spark, sums, "lm-changes").toLocalIterator():
         lo, hi = r.block * BLOCK, min((r.block + 1) * BLOCK, len(model.acc[r.t]))
         model.acc[r.t][lo:hi] += np.frombuffer(r.acc, np.float32)[: hi - lo]
         model.tables[r.t][lo:hi] += np.frombuffer(r.change, np.float32).reshape(BLOCK, -1)[: hi - lo]
     shared.destroy()
+    C.release()
 
 
 def score_encoded(spark: SparkSession, own: DataFrame, model: Model) -> DataFrame:
-    shared = spark.sparkContext.broadcast(model.without(*VOCABULARY, "acc"))
+    shared = spark.sparkContext.broadcast(model.without(*VOCABULARY, "acc", "last"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
