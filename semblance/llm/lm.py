@@ -54,6 +54,8 @@ FAN = 1 << DEEP
 #: Words with a leaf of their own, at most; about 30 bytes of each go to every executor (126 MB).
 LEAVES = 1 << 22
 RATE, MINI, EPS = 0.12, 2048, 1e-3
+#: Positions scored at once; they don't depend on each other.
+SCORED = 8192
 #: Words back from the predicted one: n-grams of one and two, and a skip over one.
 FEATURES = ((1,), (1, 2), (2,))
 #: Rows of a table that are averaged together.
@@ -400,7 +402,7 @@ def score_encoded(spark: SparkSession, own: DataFrame, model: Model) -> DataFram
         for b in batches:
             offset, flat = _ranks_of(b.column("ranks"))
             lp = np.zeros(len(flat))
-            for i, past, target in batches_of(offset, flat, m.start):
+            for i, past, target in batches_of(offset, flat, m.start, SCORED):
                 lp[i : i + len(target)] = m.log_probability(past, target)
             total = np.diff(np.concatenate([[0], np.cumsum(lp)])[offset]) / -np.log(2)
             n = np.diff(offset)
