@@ -72,7 +72,7 @@ def base_features(pairs: DataFrame, train: DataFrame | None = None) -> DataFrame
     for name, words, chars in ((BASE[0], (1,), ()), (BASE[1], (1, 2), ()), (BASE[2], (), (3, 4, 5))):
         model = gram_counts(pairs if train is None else train, words, chars, 1 if train is not None else 2)
         out[name] = cosine(a, b, words, chars, model)
-    joined = (F.array_join(F.array_sort(t), " ") for t in (a, b))
+    joined = (F.array_join(F.sort_array(t), " ") for t in (a, b))
     return pairs.withColumns(out | set_features(a, b, F.col("norm_a"), F.col("norm_b")) | {BASE[9]: matcher_ratio(F.col("norm_a"), F.col("norm_b")), BASE[10]: matcher_ratio(*joined)})
 
 
