@@ -92,3 +92,11 @@ def test_queries_bound_their_batches(spark, tmp_path):
     spark.createDataFrame([(0, "a b c")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert QUERIES["minhash_signature"](spark, str(tmp_path)).count() == 1
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 8 << 20
+
+
+def test_shingles_are_made_once_and_sorted_natively(spark, tmp_path):
+    spark.createDataFrame([(0, "a b c d"), (1, "")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    plan = lambda q: QUERIES[q](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_sort" not in plan("shingles_k3") and "sequence" not in plan("shingles_k3")
+    assert plan("lsh_bands").count("concat_ws") == 1  # the filter of empty documents made them again
+    assert [r.n for r in QUERIES["shingles_k3"](spark, str(tmp_path)).orderBy("doc_id").collect()] == [1, 0]
