@@ -19,8 +19,21 @@ GRAMS = 1 << 19
 
 
 def term_frequency(docs: DataFrame, features: Column, keys: list[str]) -> DataFrame:
-    """(keys, feature, tf)."""
-    return docs.select(*keys, F.explode(features).alias("feature")).groupBy(*keys, "feature").agg(F.count("*").alias("tf"))
+    """(keys, feature, tf); the keys are those of a row, whose features are counted where they are."""
+
+    @F.arrow_udf("array<struct<feature: string, tf: bigint>>")
+    def of(col: pa.Array) -> pa.Array:
+        at = np.concatenate([[0], np.cumsum(col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        coded = col.flatten().dictionary_encode()
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        rows = [grams.distinct(code[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+        own, tf = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*rows, strict=True))
+        each = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(own.astype(np.int64))).cast(pa.string()), pa.array(tf)], ["feature", "tf"])
+        release()
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(c) for c, _ in rows)]), pa.int32()), each)
+
+    own = once(docs, {"_features": features}).select(*keys, of(F.col("_features")).alias("_each"))
+    return own.select(*keys, F.explode("_each").alias("x")).select(*keys, "x.feature", "x.tf")
 
 
 def idf(tf: DataFrame, n: int) -> DataFrame:

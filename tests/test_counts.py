@@ -100,3 +100,10 @@ def test_shingles_are_made_once_and_sorted_natively(spark, tmp_path):
     assert "array_sort" not in plan("shingles_k3") and "sequence" not in plan("shingles_k3")
     assert plan("lsh_bands").count("concat_ws") == 1  # the filter of empty documents made them again
     assert [r.n for r in QUERIES["shingles_k3"](spark, str(tmp_path)).orderBy("doc_id").collect()] == [1, 0]
+
+
+def test_term_frequencies_are_counted_in_the_row(spark):
+    docs = spark.createDataFrame([(1, ["a", "b", "a"]), (2, []), (3, ["b"])], "doc_id long, tokens array<string>")
+    out = tfidf.term_frequency(docs, F.col("tokens"), ["doc_id"])
+    assert {tuple(r) for r in out.collect()} == {(1, "a", 2), (1, "b", 1), (3, "b", 1)}
+    assert exchanges(out) == 0  # every word was exchanged
